@@ -28,7 +28,8 @@ from quern.llm.common import struct, table
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
-DISCOUNT = 0.75
+DISCOUNT = 1.5
+PAIRS = 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,47 +48,61 @@ class KneserNey:
             if w in self.vocab:
                 base[self.vocab[w]] += c
         base /= base.sum()
-        keys = [[], []]
+        # Both orders count the texts an expression stands in, not its repeats within one text.
+        keys, single = [[], []], [[], []]
         for t, y in zip(texts, toxic):
             i = self.ids(t)
             if len(i):
-                keys[y].append(np.concatenate(([0], i[:-1])) * v + i)
+                keys[y].append(np.unique(np.concatenate(([0], i[:-1])) * v + i))
+                single[y].append(np.unique(i))
         tables = [np.unique(np.concatenate(k or [np.zeros(0, np.int64)]), return_counts=True) for k in keys]
-        self.keys = np.union1d(tables[0][0], tables[1][0])
+        # Lower order: text counts of each class over the shared document frequencies.
+        cont = [np.bincount(np.concatenate(k or [np.zeros(0, np.int64)]), minlength=v).astype(float) for k in single]
+        kept = [np.maximum(n - DISCOUNT, 0) for n in cont]
+        lam = max(1 - k.sum() / max(n.sum(), 1) for k, n in zip(kept, cont))
+        uni = [(1 - lam) * k / max(k.sum(), 1e-9) + lam * base for k in kept]
+        # Higher order: each context keeps one backoff weight for both classes, the larger one,
+        # so that expressions rare in either class tell nothing.
+        # Pairs of which the smaller class expects fewer than PAIRS texts take the lower order in both.
+        both, where = np.unique(np.concatenate([k for k, _ in tables]), return_inverse=True)
+        pool = np.bincount(where, weights=np.concatenate([c for _, c in tables]), minlength=len(both))
+        part = min(map(len, single)) / max(1, sum(map(len, single)))
+        often = both[pool * part >= PAIRS]
+        over = [np.maximum(c - DISCOUNT, 0) * np.isin(k, often) for k, c in tables]
+        mass = [np.bincount(k // v, weights=o, minlength=v) for (k, _), o in zip(tables, over)]
+        total = [np.bincount(k // v, weights=c, minlength=v) for k, c in tables]
+        back = np.maximum(*[1 - m / np.maximum(t, 1) for m, t in zip(mass, total)])
+        self.keys = np.unique(np.concatenate([k[o > 0] for (k, _), o in zip(tables, over)]))
         prev, word = self.keys // v, self.keys % v
-        logs, self.low, self.back = [], [], []
-        for k, c in tables:
-            cont = np.bincount(k % v, minlength=v).astype(float)
-            n, types = max(cont.sum(), 1.0), (cont > 0).sum()
-            uni = np.maximum(cont - DISCOUNT, 0) / n + (DISCOUNT * types / n if types else 1.0) * base
-            total = np.bincount(k // v, weights=c, minlength=v)
-            kinds = np.bincount(k // v, minlength=v)
-            lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        logs = []
+        for (k, _), o, m, u in zip(tables, over, mass, uni):
             seen = np.zeros(len(self.keys))
-            seen[np.searchsorted(self.keys, k)] = np.maximum(c - DISCOUNT, 0) / total[k // v]
-            logs.append(np.log(seen + lam[prev] * uni[word]))
-            self.low.append(np.log(uni))
-            self.back.append(np.log(lam))
+            k, o = k[o > 0], o[o > 0]
+            seen[np.searchsorted(self.keys, k)] = o / m[k // v]
+            logs.append(np.log((1 - back[prev]) * seen + back[prev] * u[word]))
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
-        self.low = (self.low[1] - self.low[0]).astype(np.float32)
-        self.back = (self.back[1] - self.back[0]).astype(np.float32)
+        self.low = np.log(uni[1] / uni[0]).astype(np.float32)
 
     def ids(self, text: list[str]) -> np.ndarray:
         get = self.vocab.get
         return np.fromiter((get(w, 0) for w in text), np.int64, len(text))
 
     def score(self, text: list[str]) -> float:
-        """Length-normalised log-likelihood ratio of a whole text; 0 for none."""
+        """Length-normalised log-likelihood ratio of a whole text; 0 for none.
+
+        Each distinct expression counts once, so that repeated lines do not drown the
+        rest. Ratios are cubed before they are summed, and the root is taken again: a few clear
+        expressions outweigh many vague ones. The norm is the root of their number.
+        """
         if not text:
             return 0.0
         i = self.ids(text)
-        prev = np.concatenate(([0], i[:-1]))
-        out = self.low[i] + self.back[prev]
+        k = np.unique(np.concatenate(([0], i[:-1])) * self.v + i)
+        out = self.low[k % self.v]
         if len(self.keys):
-            k = prev * self.v + i
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             out = np.where(self.keys[at] == k, self.ratio[at], out)
-        return float(out.mean(dtype=np.float64))
+        return float(np.cbrt((out.astype(np.float64) ** 3).sum() / np.sqrt(len(out))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
