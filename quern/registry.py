@@ -1,4 +1,47 @@
 """Queries of the engine and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.operators import evaluators as ev
+from quern.operators import graph
+from quern.sources.generators import dialect
+
+TEXTS = {
+    "smoke_checksum": ev.smoke(), "polynomial_batch": ev.polynomial(), "cost_matrix": ev.cost_summary(),
+    "spatial_events": ev.spatial_summary(), "assignment_reasons": ev.assignment_reasons(),
+    "assignment_topk": ev.assignment_topk(), "combination_finder": ev.combinations(),
+}
+
+
+def sssp_layered(spark, sf_dir):
+    return graph.shortest_paths(graph.layered_edges(spark), 0)
+
+
+def bfs_part_supplier(spark, sf_dir):
+    return graph.bfs(graph.part_supplier_edges(spark, sf_dir), 0).select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def components_part_supplier(spark, sf_dir):
+    return graph.components(graph.part_supplier_edges(spark, sf_dir))
+
+
+def degree_histogram(spark, sf_dir):
+    return graph.degrees(graph.part_supplier_edges(spark, sf_dir))
+
+
+QUERIES = {k: (lambda spark, sf_dir, t=t: spark.sql(dialect(t, True))) for k, t in TEXTS.items()}
+QUERIES |= {f.__name__: f for f in (sssp_layered, bfs_part_supplier, components_part_supplier, degree_histogram)}
+
+PAIRS = "p AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)"
+ORACLE_SQL = {k: dialect(t, False) for k, t in TEXTS.items()} | {
+    "degree_histogram": f"WITH {PAIRS} SELECT degree, count(*) AS nodes FROM (SELECT src, count(*) AS degree FROM e GROUP BY src) GROUP BY degree",
+    "bfs_part_supplier": f"WITH RECURSIVE {PAIRS}, r(node, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node",
+    "sssp_layered": """WITH RECURSIVE s AS (SELECT range AS src, range % 64 AS p, range // 64 AS layer FROM range(448)),
+      d AS (SELECT src, (layer + 1) * 64 + (p + layer + k.range) % 64 AS dst FROM s, range(4) k),
+      n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge FROM d),
+      e AS (SELECT src, dst, 1 + xor(xor((src*1315423911) & 4294967295, (dst*2654435761) & 4294967295), (edge*97) & 4294967295) % 31 AS w FROM n),
+      r(node, distance) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.distance + e.w FROM r JOIN e ON e.src = r.node)
+      SELECT node, min(distance) AS distance FROM r GROUP BY node""",
+}

@@ -1,0 +1,60 @@
+"""Deterministic entity tables as SQL that Spark and DuckDB read alike.
+
+``RANGE(n)`` stands for the rows 0 .. n-1 as column i; ``dialect`` fills it in. All
+real numbers are float32, as thresholds fall on exact values.
+"""
+
+from __future__ import annotations
+
+import re
+
+
+def dialect(sql: str, spark: bool) -> str:
+    # Terms like 0.45f become float32 literals; whole columns are cast where they are made.
+    sql = re.sub(r"(?<![\w.])(\d*\.?\d+)f\b", r"cast(\1 as float)", sql)
+    rows = r"(SELECT cast(id AS int) AS i FROM range(\1))" if spark else r"(SELECT cast(range AS int) AS i FROM range(\1))"
+    return re.sub(r"RANGE\((\d+)\)", rows, sql)
+
+
+def real(expr: str) -> str:
+    return f"cast({expr} as float)"
+
+
+def cost_tasks(n: int) -> str:
+    return f"""(SELECT i AS task_id, {real("(17*i)%1600")}*0.45f AS x, {real("(31*i+13)%1600")}*0.35f AS y,
+  150f+{real("(19*i)%120")}*3.5f AS deadline, 1f+{real("i%7")}*0.35f AS priority, 1 << (i%8) AS skill, i%6=0 AS urgent FROM RANGE({n}))"""
+
+
+def cost_resources(n: int) -> str:
+    return f"""(SELECT i AS resource_id, {real("(29*i+7)%1600")}*0.42f AS x, {real("(43*i+5)%1600")}*0.38f AS y,
+  cast({real("(11*i)%101")}/100f as float) AS load, 0.85f+{real("i%6")}*0.18f AS speed, {real("(23*i)%90")}*2f AS available,
+  (1 << (i%8)) | (1 << ((i+3)%8)) | (1 << ((i+5)%8)) AS mask FROM RANGE({n}))"""
+
+
+def tracks(n: int) -> str:
+    x0, y0 = f"{real('(37*i+11)%2000')}*0.5f", f"{real('(53*i+19)%2000')}*0.5f"
+    return f"""(SELECT i AS track_id, {x0} AS x0, {y0} AS y0, {x0}+{real("(19*i)%61-30")}*5f AS x1,
+  {y0}+{real("(23*i)%61-30")}*4.5f AS y1, 4f+{real("(7*i)%37")}*0.65f AS speed FROM RANGE({n}))"""
+
+
+def zones(n: int) -> str:
+    return f"""(SELECT i AS zone_id, {real("(59*i+7)%2000")}*0.5f AS x, {real("(71*i+29)%2000")}*0.5f AS y,
+  28f+{real("i%9")}*14f AS radius, 1f+{real("i%6")}*0.45f AS severity FROM RANGE({n}))"""
+
+
+def items(n: int) -> str:
+    return f"""(SELECT i, 20+(37*i+11)%180 AS value, 5+(19*i+7)%80 AS cost, 1+(23*i+3)%60 AS risk, (29*i+17)%1000 AS x, (43*i+31)%1000 AS y,
+  (1 << ((5*i+2)%6)) | (CASE WHEN i%11=0 THEN 1 << ((i+3)%6) ELSE 0 END) | (CASE WHEN i%17=0 THEN 1 << ((i+5)%6) ELSE 0 END) AS cat FROM RANGE({n}))"""
+
+
+def assignment_tasks(n: int) -> str:
+    return f"""(SELECT i AS task_id, {real("(37*i+11)%4000")}*0.25f AS x, {real("(53*i+23)%4000")}*0.25f AS y,
+  (1 << (i%8)) | (CASE WHEN i%7=0 THEN 1 << ((i+3)%8) ELSE 0 END) AS need, 1+i%5 AS demand, (13*i)%600 AS earliest, 20+i%90 AS duration,
+  (13*i)%600+20+i%90+120+(5*i)%220 AS latest, i%12 AS zone, 1f+cast({real("(17*i)%100")}/20f as float) AS priority, cast({real("(19*i)%100")}/100f as float) AS risk FROM RANGE({n}))"""
+
+
+def assignment_resources(n: int) -> str:
+    return f"""(SELECT i AS resource_id, {real("(31*i+7)%4000")}*0.25f AS x, {real("(47*i+29)%4000")}*0.25f AS y,
+  (1 << (i%8)) | (1 << ((i+2)%8)) | (1 << ((i+5)%8)) | (CASE WHEN i%11=0 THEN 255 ELSE 0 END) AS mask, 2+i%7 AS capacity, (17*i)%500 AS opens,
+  (17*i)%500+300+(13*i)%300 AS closes, (CASE WHEN i%5=0 THEN 1 << ((i+1)%12) ELSE 0 END) | (CASE WHEN i%9=0 THEN 1 << ((i+4)%12) ELSE 0 END) AS forbid,
+  {real("240+(7*i)%280")} AS reach, 0.35f+cast({real("(11*i)%65")}/100f as float) AS tolerance, cast({real("(23*i)%100")}/100f as float) AS load FROM RANGE({n}))"""
