@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import table, written
 
 BROADCAST_SOURCES = 20_000
 #: Share of a source is its characters to this power, for want of explicit weights.
@@ -33,6 +33,7 @@ def uniform(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """(source, rate, cdf): cdf[k] = P(count <= k), until it no longer grows."""
     have = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("have"))
+    have = written(have, "sources")
     if weights is None:
         share = F.pow(F.col("have").cast("double"), F.lit(TEMPERATURE))
     else:
@@ -59,21 +60,29 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``copies``, ``copy`` (from 0) and ``shuffle_key``, globally shuffled by that key."""
-    r = rates(docs, weights, epochs).withColumnRenamed("source", "_source")
+    """``docs`` with ``copies``, ``copy`` (from 0) and ``shuffle_key``."""
+    r = written(rates(docs, weights, epochs).withColumnRenamed("source", "_source"), "rates")
     if r.count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
     u = uniform(F.lit(seed), F.col("doc_id"), F.col("text"))
     out = docs.join(r, F.col("source").eqNullSafe(F.col("_source")), "left")
-    out = out.withColumn("copies", F.size(F.filter("cdf", lambda c: c < u)))
-    out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # Lambda variables bind the hash and the count, which would else be computed once per use.
+    counts = F.transform(F.array(u), lambda x: F.size(F.filter("cdf", lambda c: c < x)))
+    repeats = F.flatten(F.transform(counts, lambda n: F.array_repeat(n, n)))
+    # An inner generator would infer a filter that hashes every text once more.
+    out = out.select("*", F.posexplode_outer(repeats).alias("copy", "copies")).where("copy is not null")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     return out.drop("_source", "cdf", "rate").withColumn("shuffle_key", key)
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """The global order: by ``shuffle_key``, dealt by range so that partitions follow each other."""
-    return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    """The global order by ``shuffle_key``, in partitions that follow each other.
+
+    Keys are hashes and thus spread evenly, so ranges need no sampling pass.
+    """
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.shiftright(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    return mixed.repartitionById(n, at).sortWithinPartitions("shuffle_key")
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
