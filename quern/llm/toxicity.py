@@ -6,7 +6,7 @@ rare expressions back off to the same counts. A text's feature is its length-nor
 log-likelihood ratio, toxic against ordinary; a logistic curve, fitted on cross-fitted ratios of
 the training rows, turns it into a score.
 
-Bound: at most SAMPLE rows of each class, of at most SAMPLE_CHARS characters
+Bound: at most SAMPLE distinct texts of each class, of at most SAMPLE_CHARS characters
 each, by the order of a hash of the text, are used for fitting. Every whole text
 is scored. Null and empty texts score the curve's value at ratio zero. Rows with a null label or
 without a document do not train. Where a class has no rows, every score is the
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import struct, table
+from quern.llm.common import struct, table, written
 
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
@@ -146,8 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame):
     train = labels.where(~held_out()).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
     have = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = have.get(1, 0) / max(1, sum(have.values()))
-    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS).join(train, "doc_id")
-    rows = [r for y in (0, 1) for r in both.where(F.col("y") == y).orderBy(F.xxhash64("t"), "t").limit(SAMPLE).select("t", "y").collect()]
+    text = F.coalesce("text", F.lit(""))
+    prints = docs.where(F.length(text) <= SAMPLE_CHARS).select("doc_id", F.xxhash64(text).alias("h"))
+    # One row per distinct text and class; texts themselves are neither shuffled nor sorted.
+    distinct = written(prints.join(train, "doc_id").groupBy("y", "h").agg(F.min("doc_id").alias("doc_id")), "train")
+    some = [distinct.where(F.col("y") == y).orderBy("h").limit(SAMPLE) for y in (0, 1)]
+    picked = F.broadcast(some[0].union(some[1]))  # at most 2 * SAMPLE rows of three numbers
+    found = docs.select("doc_id", text.alias("t"), F.xxhash64(text).alias("h")).join(picked, ["doc_id", "h"])
+    rows = sorted(found.groupBy("y", "h").agg(F.min("t").alias("t")).collect(), key=lambda r: (r["y"], r["h"]))
     if len({r["y"] for r in rows}) < 2:
         return None, 0.0, 0.0, prior
     texts, y = [words(r["t"]) for r in rows], [r["y"] for r in rows]
