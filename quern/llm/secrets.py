@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and hexadecimal runs. Values that
 stand in a credential context (``pwd: ...``, ``login = ...``) are then priced by the
 cheapest way to guess them: a minimum-cost segmentation into common words,
 dates, repeats, keyboard walks and brute-force spans. Values dear to guess
-become further spans of kind ``guess``; base spans always stay.
+become further spans of kind ``guess``, and so do values of which a base span covers only a
+part; values wholly in one base span do not. Base spans always stay.
 
 Spans are those of the whole pattern match, in code points, end exclusive.
 Null texts count as empty; empty texts have no spans and the SHA-256 of "".
@@ -119,17 +120,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values in credential context that no base span touches and that are dear to guess."""
-    out, k = [], 0
+    """Values in credential context that are dear to guess; none that lies wholly in one base span.
+
+    A base span over a part marks the value as a secret whatever its cost, so that no rest of it stays in the text.
+    """
+    out = []
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
         value = m.group(1).rstrip(".#*%&$!?)")
         e = s + len(value)
-        if len(value) < 8 or value.isalpha() or not any("0" <= c <= "9" for c in value):
-            continue
-        if any(a < e and s < b for a, _, b in base):
+        if any(a <= s and e <= b for a, _, b in base):
             continue
-        if guess_cost(value) >= MIN_LOG10_GUESSES:
+        cut = any(a < e and s < b for a, _, b in base)
+        if cut or guess_cost(value) >= MIN_LOG10_GUESSES:
             out.append((s, 3, e))
     return out
 
