@@ -2,13 +2,13 @@
 
 One model per class is fitted on labelled rows outside the held-out fold. Both share
 their lowest order: document frequencies of the words, gathered over all documents, so that
-rare expressions back off to the same counts. A text's feature is its length-normalised
+rare expressions back off to the same counts; pairs do so by way of the pairs of both classes together. A text's feature is its length-normalised
 log-likelihood ratio, toxic against ordinary; a logistic curve, fitted on cross-fitted ratios of
 the training rows, turns it into a score.
 
 Bound: at most SAMPLE distinct texts of each class, of at most SAMPLE_CHARS characters
-each, by the order of a hash of the text, are used for fitting. Every whole text
-is scored. Null and empty texts score the curve's value at ratio zero. Rows with a null label or
+each, by the order of a hash of the text, are used for fitting. No expression of them is left
+out. Every whole text is scored. Null and empty texts score the curve's value at ratio zero. Rows with a null label or
 without a document do not train. Where a class has no rows, every score is the
 share of toxic rows (0 without labels).
 """
@@ -28,8 +28,10 @@ from quern.llm.common import struct, table, written
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
-DISCOUNT = 1.5
-PAIRS = 5
+#: Below one, so that expressions of a single text keep a part of their count.
+DISCOUNT = 0.95
+#: So many texts of a context count for the backoff besides its own.
+STRENGTH = 10
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,25 +63,26 @@ class KneserNey:
         kept = [np.maximum(n - DISCOUNT, 0) for n in cont]
         lam = max(1 - k.sum() / max(n.sum(), 1) for k, n in zip(kept, cont))
         uni = [(1 - lam) * k / max(k.sum(), 1e-9) + lam * base for k in kept]
-        # Higher order: each context keeps one backoff weight for both classes, the larger one,
-        # so that expressions rare in either class tell nothing.
-        # Pairs of which the smaller class expects fewer than PAIRS texts take the lower order in both.
-        both, where = np.unique(np.concatenate([k for k, _ in tables]), return_inverse=True)
-        pool = np.bincount(where, weights=np.concatenate([c for _, c in tables]), minlength=len(both))
-        part = min(map(len, single)) / max(1, sum(map(len, single)))
-        often = both[pool * part >= PAIRS]
-        over = [np.maximum(c - DISCOUNT, 0) * np.isin(k, often) for k, c in tables]
-        mass = [np.bincount(k // v, weights=o, minlength=v) for (k, _), o in zip(tables, over)]
-        total = [np.bincount(k // v, weights=c, minlength=v) for k, c in tables]
-        back = np.maximum(*[1 - m / np.maximum(t, 1) for m, t in zip(mass, total)])
-        self.keys = np.unique(np.concatenate([k[o > 0] for (k, _), o in zip(tables, over)]))
-        prev, word = self.keys // v, self.keys % v
-        logs = []
-        for (k, _), o, m, u in zip(tables, over, mass, uni):
-            seen = np.zeros(len(self.keys))
-            k, o = k[o > 0], o[o > 0]
-            seen[np.searchsorted(self.keys, k)] = o / m[k // v]
-            logs.append(np.log((1 - back[prev]) * seen + back[prev] * u[word]))
+        # Middle order: the pairs of both classes together, discounted, over the shared lower order.
+        both = np.unique(np.concatenate([k for k, _ in tables]))
+        counts = [np.zeros(len(both)) for _ in tables]
+        for into, (k, c) in zip(counts, tables):
+            into[np.searchsorted(both, k)] = c
+        prev, word = both // v, both % v
+        pool = counts[0] + counts[1]
+        total, types = np.bincount(prev, weights=pool, minlength=v), np.bincount(prev, minlength=v)
+        middle = (pool - DISCOUNT + DISCOUNT * types[prev] * base[word]) / total[prev]
+        # Higher order: every pair counts. Each context keeps one backoff weight for both classes, the larger one; what
+        # it backs off to is the middle order, shifted by each class's lower order, so that pairs rare in either class tell little.
+        own = [np.bincount(prev, weights=c, minlength=v)[prev] for c in counts]
+        over = [np.maximum(c - DISCOUNT, 0) for c in counts]
+        mass = [np.bincount(prev, weights=o, minlength=v)[prev] for o in over]
+        back = np.maximum(*[1 - m / (n + STRENGTH) for m, n in zip(mass, own)])
+        logs = [
+            np.log((1 - back) * o / np.maximum(m, 1e-9) + back * middle * u[word] / base[word])
+            for o, m, u in zip(over, mass, uni)
+        ]
+        self.keys = both
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
         self.low = np.log(uni[1] / uni[0]).astype(np.float32)
 
