@@ -50,16 +50,15 @@ class KneserNey:
             if w in self.vocab:
                 base[self.vocab[w]] += c
         base /= base.sum()
-        # Both orders count the texts an expression stands in, not its repeats within one text.
-        keys, single = [[], []], [[], []]
+        # Pairs count the texts they stand in, not their repeats within one text.
+        keys = [[], []]
         for t, y in zip(texts, toxic):
             i = self.ids(t)
             if len(i):
                 keys[y].append(np.unique(np.concatenate(([0], i[:-1])) * v + i))
-                single[y].append(np.unique(i))
         tables = [np.unique(np.concatenate(k or [np.zeros(0, np.int64)]), return_counts=True) for k in keys]
-        # Lower order: text counts of each class over the shared document frequencies.
-        cont = [np.bincount(np.concatenate(k or [np.zeros(0, np.int64)]), minlength=v).astype(float) for k in single]
+        # Lower order: continuation counts, the distinct predecessors of a word in each class, over the shared document frequencies.
+        cont = [np.bincount(k % v, minlength=v).astype(float) for k, _ in tables]
         kept = [np.maximum(n - DISCOUNT, 0) for n in cont]
         lam = max(1 - k.sum() / max(n.sum(), 1) for k, n in zip(kept, cont))
         uni = [(1 - lam) * k / max(k.sum(), 1e-9) + lam * base for k in kept]
@@ -159,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     rows = sorted(found.groupBy("y", "h").agg(F.min("t").alias("t")).collect(), key=lambda r: (r["y"], r["h"]))
     if len({r["y"] for r in rows}) < 2:
         return None, 0.0, 0.0, prior
-    texts, y = [words(r["t"]) for r in rows], [r["y"] for r in rows]
+    same: dict[str, str] = {}  # one object a word, or repeats fill the driver
+    texts, y = [[same.setdefault(w, w) for w in words(r["t"])] for r in rows], [r["y"] for r in rows]
     vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
     sent = spark.sparkContext.broadcast(vocab)
     shared = _document_frequency(docs, sent)

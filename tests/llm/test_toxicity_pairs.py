@@ -24,3 +24,10 @@ def test_every_pair_counts():
 def test_pairs_of_one_text_stay():
     m = KneserNey([["a", "b"], ["c", "d"], ["c", "e"]], [1, 0, 0], {})
     assert len(m.keys) == 5
+
+
+def test_lower_order_counts_predecessors():
+    # "x" stands in as many toxic texts as "y", but follows many words; "y" always follows one.
+    toxic = [[f"p{k}", "x", "q", "y"] for k in range(9)]
+    m = KneserNey([*toxic, ["x", "y"]], [1] * 9 + [0], {})
+    assert m.low[m.vocab["x"]] > m.low[m.vocab["y"]] + 0.3
