@@ -1,41 +1,42 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 A fingerprint has 64 bits over word shingles. Two fingerprints with at most
-TAU = 4 differing bits link. The 64 bits form a ring of seven segments; by the pigeonring
+TAU differing bits (four) link. The 64 bits form a ring of seven segments (eight from SEGMENTS_8 distinct
+fingerprints on, so that keys stay selective); by the pigeonring
 principle some start exists from which every chain of l segments differs
 in at most floor(4 l / 7) bits. From that start the first five
-segments hold at least three equal ones, in one of five layouts, so 35 keys of 27
-or 28 bits find every link; the chain budgets then prune candidates before the
-full Hamming test.
-
-Copies collapse to one fingerprint first. A key shared by many
-different fingerprints never forms all pairs: its fingerprints emit the 2081
-values within two bits of themselves, and two of them link exactly if they share such a
+segments hold at least three equal ones, in one of five layouts, so 35 keys of 28
+bits find every link (eight segments: four equal ones of seven, 112 keys of 32 bits); the chain
+budgets then prune candidates before the full Hamming test.
+
+Copies collapse to one fingerprint first; links and components are those of fingerprints, so rows
+without doc_id join what they lie between. A key shared by more than PAIR_LIMIT
+different fingerprints never forms all pairs, which would be quadratic in a dense cluster: its fingerprints
+emit the 2081 values within two bits of themselves, and two of them link exactly if they share such a
 value. At most 2081 fingerprints can meet in one value, so groups stay bounded and the work
-linear.
+linear; components are the same.
 
 Null texts and texts without words have fingerprint zero. Rows with a null
-doc_id keep a row: their component is the smallest doc_id reachable, or null.
+doc_id keep a row: their component is the smallest doc_id reachable, or null. Any type of doc_id that has an
+order will do. Extra columns are left alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import TYPES, table, written
+from quern.llm.common import TYPES, split_join, table, written
 from quern.llm.components import connected_components
 
 TAU = 4
-WIDTHS = (10, 9, 9, 9, 9, 9, 9)
-STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
-M = len(WIDTHS)
-BUDGET = tuple(TAU * (k + 1) // M for k in range(M))
-#: Offsets of two further equal segments behind the first one of a viable chain.
-LAYOUTS = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4))
+#: From so many distinct fingerprints on the ring has eight segments.
+SEGMENTS_8 = 1 << 28
 #: Keys with more distinct fingerprints go by midpoints instead of pairs.
 PAIR_LIMIT = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -68,32 +69,49 @@ def _udf(shingle: int):
     return go
 
 
-def _segment(x: Column, i: int) -> Column:
-    return F.shiftrightunsigned(x, STARTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
-
-
-def _keys(fp: Column) -> Column:
-    out = []
-    for s in range(M):
-        for p, (a, b) in enumerate(LAYOUTS):
-            key = F.lit(s * len(LAYOUTS) + p).cast("long")
-            for i in (s, (s + a) % M, (s + b) % M):
-                key = F.shiftleft(key, 10).bitwiseOR(_segment(fp, i))
-            out.append(key)
-    return F.array(*out)
-
-
-def _chain(x: Column, start: Column) -> Column:
-    """Whether the chains of the ring from ``start`` keep their proportional budgets."""
-    d = [F.bit_count(_segment(x, i)) for i in range(M)]
-    viable = []
-    for s in range(M):
-        total, ok = F.lit(0), F.lit(True)
-        for k in range(M):
-            total = total + d[(s + k) % M]
-            ok = ok & (total <= BUDGET[k])
-        viable.append(ok)
-    return F.element_at(F.array(*viable), start.cast("int") + 1)
+class Ring:
+    """``m`` segments of the 64 bits, the chain budgets, and the layouts of equal segments that a viable chain has."""
+
+    def __init__(self, m: int = 7):
+        self.m = m
+        self.widths = [64 // m + (i < 64 % m) for i in range(m)]
+        self.starts = [sum(self.widths[:i]) for i in range(m)]
+        self.budget = [TAU * (k + 1) // m for k in range(m)]
+        # The shortest chain that holds the most segments that must be equal.
+        sure = [k + 1 - self.budget[k] for k in range(m - 1)]
+        equal, length = max(sure), sure.index(max(sure)) + 1
+        self.layouts = [
+            z for z in combinations(range(length), equal)
+            if all(k + 1 - sum(i <= k for i in z) <= self.budget[k] for k in range(length))
+        ]
+        self.key_bits = equal * max(self.widths)
+
+    def segment(self, x: Column, i: int) -> Column:
+        i %= self.m
+        return F.shiftrightunsigned(x, self.starts[i]).bitwiseAND((1 << self.widths[i]) - 1)
+
+    def keys(self, fp: Column) -> Column:
+        out = []
+        for s in range(self.m):
+            for p, layout in enumerate(self.layouts):
+                key = F.lit(s * len(self.layouts) + p).cast("long")
+                for i in layout:
+                    key = F.shiftleft(key, max(self.widths)).bitwiseOR(self.segment(fp, s + i))
+                out.append(key)
+        return F.array(*out)
+
+    def chain(self, x: Column, key: Column) -> Column:
+        """Whether the chains of the ring from the key's start keep their proportional budgets."""
+        d = [F.bit_count(self.segment(x, i)) for i in range(self.m)]
+        viable = []
+        for s in range(self.m):
+            total, ok = F.lit(0), F.lit(True)
+            for k in range(self.m):
+                total = total + d[(s + k) % self.m]
+                ok = ok & (total <= self.budget[k])
+            viable.append(ok)
+        start = F.floor(F.shiftrightunsigned(key, self.key_bits) / len(self.layouts))
+        return F.element_at(F.array(*viable), start.cast("int") + 1)
 
 
 def _masks() -> np.ndarray:
@@ -106,45 +124,44 @@ def _midpoints(batches):
     masks = _masks()
     for b in batches:
         for k in range(0, len(b), 256):
-            part = b.iloc[k : k + 256]
-            v = (part["fp"].to_numpy(np.int64)[:, None] ^ masks[None, :]).ravel()
-            yield pd.DataFrame({"mid": v, "id": np.repeat(part["id"].to_numpy(np.int64), len(masks))})
+            fp = b["fp"].to_numpy(np.int64)[k : k + 256]
+            yield pd.DataFrame({"mid": (fp[:, None] ^ masks[None, :]).ravel(), "fp": np.repeat(fp, len(masks))})
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the same components as all pairs within TAU bits.
+def links(nodes: DataFrame, segments: int = 7) -> DataFrame:
+    """Links (u, v) of fingerprints that connect the same components as all pairs within TAU bits.
 
-    ``nodes`` holds distinct (fp, id). Pairs under keys of at most PAIR_LIMIT
+    ``nodes`` holds distinct ``fp``. Pairs under keys of at most PAIR_LIMIT
     fingerprints are all returned; under larger keys each midpoint yields a star.
     """
-    keyed = nodes.select("fp", "id", F.explode(_keys(F.col("fp"))).alias("key"))
+    ring = Ring(segments)
+    keyed = nodes.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keyed.join(shared, "key"), "keys")
     cold = met.where(F.col("n") <= PAIR_LIMIT)
-    a = cold.select("key", F.col("fp").alias("x"), F.col("id").alias("u"))
-    b = cold.select("key", F.col("fp").alias("y"), F.col("id").alias("v"))
-    start = F.floor(F.shiftrightunsigned("key", 30) / len(LAYOUTS))
-    diff = F.col("x").bitwiseXOR(F.col("y"))
-    pairs = a.join(b, "key").where("x < y").where(_chain(diff, start)).where(F.bit_count(diff) <= TAU)
-    hot = met.where(F.col("n") > PAIR_LIMIT).select("fp", "id").distinct()
+    a, b = cold.select("key", F.col("fp").alias("u")), cold.select("key", F.col("fp").alias("v"))
+    diff = F.col("u").bitwiseXOR(F.col("v"))
+    pairs = a.join(b, "key").where("u < v").where(ring.chain(diff, F.col("key"))).where(F.bit_count(diff) <= TAU)
+    hot = met.where(F.col("n") > PAIR_LIMIT).select("fp").distinct()
     star = (
-        hot.mapInPandas(_midpoints, "mid long, id long").groupBy("mid").agg(F.collect_set("id").alias("ids"))
-        .where(F.size("ids") > 1)
-        .select(F.array_min("ids").alias("u"), F.explode("ids").alias("v")).where("u <> v")
+        hot.mapInPandas(_midpoints, "mid long, fp long").groupBy("mid").agg(F.collect_set("fp").alias("fps"))
+        .where(F.size("fps") > 1)
+        .select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
     )
     return pairs.select("u", "v").union(star).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    prints = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _udf(shingle)(F.col(text)).alias("fp")), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    # A fingerprint that only rows without doc_id have is named below all doc_ids' order by its own value.
-    found = connected_components(links(nodes.where("id is not null")))
-    named = nodes.join(found, nodes["id"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints = written(docs.select(F.col(doc_id).alias("doc_id"), _udf(shingle)(F.col(text)).alias("fp")), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
+    size = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    found = connected_components(links(nodes.select("fp"), 7 if size["nodes"] < SEGMENTS_8 else 8))
+    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = written(named, "named")
+    low = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
+    names = split_join(named, low, "component", "members", size["nodes"]).select("fp", "n", "component_id")
+    return split_join(prints, written(names, "names"), "fp", "n", size["rows"]).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
