@@ -5,23 +5,29 @@ uniform value hashed from seed, doc_id and text, whose mean is its source's repe
 (target characters over characters it has). Documents are exploded by that number and
 shuffled globally by a hash of seed, doc_id and copy. Only SQL functions are used.
 
+A source's distribution is tabled once, for the counts within twelve deviations and thirty of its rate (what lies beyond
+has less than 1e-30): 24 roots of the rate and some 60 numbers. Its terms are prefix sums, and each document
+finds its count by bisection.
+
 A null source is a source of its own. Empty sources (no characters) have rate one.
-Repeated rows get equal counts. The rate table has one row per source; it is broadcast only if it has at most
-BROADCAST_SOURCES rows, otherwise joined.
+Repeated rows get equal counts. An empty table gives no rows. All columns of the input stay; columns named like the results are
+replaced. The tables of all sources are broadcast only if they hold at most BROADCAST_TERMS numbers in all; otherwise only those of hot
+sources are, and the others are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import split_join, table, written
 
-BROADCAST_SOURCES = 20_000
+BROADCAST_TERMS = 1 << 20
 #: Share of a source is its characters to this power, for want of explicit weights.
 TEMPERATURE = 0.5
 SEED = 17
 UNIT = 2.0**-52
+RESULTS = ["copies", "copy", "shuffle_key"]
 
 
 def uniform(*parts: Column) -> Column:
@@ -31,8 +37,8 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """(source, rate, cdf): cdf[k] = P(count <= k), until it no longer grows."""
-    have = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("have"))
+    """(source, n, rate): rows and mean number of copies of each source."""
+    have = docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("have"))
     have = written(have, "sources")
     if weights is None:
         share = F.pow(F.col("have").cast("double"), F.lit(TEMPERATURE))
@@ -40,39 +46,59 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         share = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(0.0))
     have = have.withColumn("share", share)
     total = have.agg(F.sum("have").alias("all_have"), F.sum("share").alias("all_share"))
-    out = have.crossJoin(F.broadcast(total))  # one row
     rate = F.when(F.col("have") == 0, 1.0).otherwise(
         F.lit(epochs) * F.col("share") / F.col("all_share") * F.col("all_have") / F.col("have")
     )
-    out = out.select("source", rate.alias("rate"))
-    steps = F.sequence(F.lit(1), (F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
-    # Terms in logarithms, so that a large rate does not underflow.
-    walk = F.aggregate(
-        steps,
-        F.struct((-F.col("rate")).alias("log"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda a, k: F.struct(
-            (a["log"] + F.log("rate") - F.log(k.cast("double"))).alias("log"),
-            F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(a["log"] + F.log("rate") - F.log(k.cast("double"))))).alias("cdf"),
-        ),
-    )
-    none = F.array(F.lit(1.0))
-    return out.select("source", "rate", F.when(F.col("rate") > 0, walk["cdf"]).otherwise(none).alias("cdf"))
+    return have.crossJoin(F.broadcast(total)).select("source", "n", rate.alias("rate"))  # one row
+
+
+def distributions(rate: DataFrame) -> DataFrame:
+    """``rate`` (one row a source) with ``low`` and ``cdf``: cdf[k] = P(count <= low + k), by prefix sums."""
+    spread = 12 * F.sqrt("rate") + 30
+    rate = rate.withColumn("low", F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long"))
+    k = F.explode(F.sequence(F.col("low"), F.floor(F.col("rate") + spread).cast("long"))).alias("k")
+    some = rate.where("rate > 0")
+    # Logarithms relative to the first term, then to the largest one: no term overflows, and the sum normalises them.
+    own = Window.partitionBy("source").orderBy("k")
+    up, whole = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("source")
+    terms = some.select("source", "rate", "low", k).withColumn("log", F.sum(F.when(F.col("k") > F.col("low"), F.log(F.col("rate") / F.col("k"))).otherwise(0.0)).over(up))
+    terms = terms.withColumn("p", F.exp(F.col("log") - F.max("log").over(whole)))
+    terms = terms.select("source", "k", (F.sum("p").over(up) / F.sum("p").over(whole)).alias("c"))
+    lists = terms.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda t: t["c"]).alias("cdf"))
+    lists = lists.withColumnRenamed("source", "_own")
+    return rate.join(lists, F.col("source").eqNullSafe(F.col("_own")), "left").drop("_own")
+
+
+def _count(cdf: Column, low: Column, u: Column) -> Column:
+    """Number of values below u in the ascending ``cdf``, by bisection, and ``low``; 0 without a table."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cdf).cast("double") + 1)).cast("int"))
+
+    def half(a, _):
+        middle = F.floor((a["at"] + a["end"]) / 2).cast("int")
+        below = F.element_at(cdf, middle + 1) < u
+        open_ = a["at"] < a["end"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(a["at"]).alias("at"), F.when(open_ & ~below, middle).otherwise(a["end"]).alias("end"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.size(cdf).alias("end")), half, lambda a: a["at"])
+    return F.when(cdf.isNull(), F.lit(0)).otherwise(found + low).cast("int")
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` with ``copies``, ``copy`` (from 0) and ``shuffle_key``."""
-    r = written(rates(docs, weights, epochs).withColumnRenamed("source", "_source"), "rates")
-    if r.count() <= BROADCAST_SOURCES:
-        r = F.broadcast(r)
-    u = uniform(F.lit(seed), F.col("doc_id"), F.col("text"))
-    out = docs.join(r, F.col("source").eqNullSafe(F.col("_source")), "left")
+    names = [c for c in docs.columns if c not in RESULTS]
+    # A text, so that null sources join; no source's own name starts with either letter alone.
+    name = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    r = written(distributions(rates(docs, weights, epochs)).select(name.alias("key"), "n", "low", "cdf"), "rates")
+    have = r.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size("cdf"))), F.lit(0)).alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    rows = docs.select(F.struct(*names).alias("row"), name.alias("key"), uniform(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"))
+    out = rows.join(F.broadcast(r), "key") if have["terms"] <= BROADCAST_TERMS else split_join(rows, r, "key", "n", have["rows"])
     # Lambda variables bind the hash and the count, which would else be computed once per use.
-    counts = F.transform(F.array(u), lambda x: F.size(F.filter("cdf", lambda c: c < x)))
+    counts = F.transform(F.array("u"), lambda u: _count(F.col("cdf"), F.col("low"), u))
     repeats = F.flatten(F.transform(counts, lambda n: F.array_repeat(n, n)))
     # An inner generator would infer a filter that hashes every text once more.
-    out = out.select("*", F.posexplode_outer(repeats).alias("copy", "copies")).where("copy is not null")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return out.drop("_source", "cdf", "rate").withColumn("shuffle_key", key)
+    out = out.select("row", F.posexplode_outer(repeats).alias("copy", "copies")).where("copy is not null")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+    return out.select("row.*", "copies", "copy", key.alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
