@@ -1,15 +1,17 @@
 """Approximate nearest neighbours: one navigable small-world hierarchy per shard.
 
-Equal vectors collapse to one node that keeps its k + 1 smallest ids. Nodes are dealt to shards
-of about SHARD by hash; each shard's hierarchy is built in batches with numpy and stored as flat
-neighbour arrays in the shared folder. Queries go to every shard in bounded groups, shard results are
-merged, and nodes expand to their ids.
+Equal vectors collapse to one node that keeps its k + 1 smallest ids. Nodes are dealt by hash to shards
+of at most about SHARD, so that an index fits a worker; each shard's hierarchy is stored as flat
+neighbour arrays in the shared folder. Nodes are numbered by falling level, so that a layer is a prefix of them and
+holds arrays for its own nodes only. A node links to diverse ones among the CANDIDATES nearest of the nodes before it, found by blocked
+products within the shard. Every query goes to every shard: an index is read once and the blocks of queries stream past
+it; shard results are merged, and nodes expand to their ids.
 
 Nearness is the inner product. The graph is built on vectors lengthened by
 one coordinate to equal norms, which keeps that order for any norms. Scores are in double precision on
 the original vectors. Vectors null, empty, zero or with null or non-finite components take no part;
-vectors of different lengths never meet. Rows that share the query's id are not
-its candidates; rows that repeat another id count separately.
+vectors of different lengths never meet. Repeated query rows are one query. Rows that share the query's id are not
+its candidates; rows that repeat another id count separately. Empty tables give no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table, written
 
-SHARD = 8192
-GROUP = 8192
+SHARD = 1 << 16
+#: Small tables are dealt to the cluster's cores as long as shards keep so many nodes.
+LEAST = 4096
+#: Bytes for the marks of visited nodes in one search.
+MARKS = 1 << 26
 DEGREE = 16
-BUILD, SEARCH = 64, 128
-WIDTH = 4
+#: Candidates of a new node, and links kept open in a search: SEARCH at least, and REACH roots of the shard's nodes.
+CANDIDATES, SEARCH, REACH = 64, 128, 3
+WIDTH = 16
+BLOCK = 1024
 
 
 def search(q: np.ndarray, x: np.ndarray, near: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +68,8 @@ def search(q: np.ndarray, x: np.ndarray, near: np.ndarray, entry: np.ndarray, ef
         nb[(nb >= 0) & seen[live[:, None], np.maximum(nb, 0)]] = -1
         r, c = np.nonzero(nb >= 0)
         seen[live[r], nb[r, c]] = True
-        s = np.full(nb.shape, -np.inf, np.float32)
-        s[r, c] = np.einsum("nd,nd->n", x[nb[r, c]], q[live[r]])
+        s = (x[np.maximum(nb, 0)] @ q[live][:, :, None])[:, :, 0]
+        s[nb < 0] = -np.inf
         all_s = np.concatenate([sim[live], s], 1)
         top = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
         sim[live] = np.take_along_axis(all_s, top, 1)
@@ -76,7 +83,8 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sim: np.ndarray, degree: int) -> np
     b, m = ids.shape
     ids, sim = ids[:, : 3 * degree], sim[:, : 3 * degree]
     m = ids.shape[1]
-    cross = np.einsum("bid,bjd->bij", x[ids], x[ids])
+    own = x[ids]
+    cross = own @ own.transpose(0, 2, 1)
     keep = np.zeros((b, m), bool)
     for j in range(m):
         near = (cross[:, j, :] > sim[:, j, None]) & keep
@@ -86,50 +94,49 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sim: np.ndarray, degree: int) -> np
     return np.take_along_axis(ids, at, 1)
 
 
-def build_layer(x: np.ndarray, nodes: np.ndarray, entry: np.ndarray, degree: int) -> np.ndarray:
-    """Neighbour array (len(x), degree) among ``nodes``; entry[k] is a start node for nodes[k] or -1."""
-    near = np.full((len(x), degree), -1, np.int32)
-    done = min(len(nodes), 2 * degree)
-    first = nodes[:done]
-    s = x[first] @ x[first].T
-    np.fill_diagonal(s, -np.inf)
-    order = np.argsort(-s, axis=1)[:, : min(degree, max(done - 1, 0))]
-    near[first, : order.shape[1]] = first[order]
-    while done < len(nodes):
-        now = nodes[done : done + min(done, 1024)]
-        inside = np.zeros(len(x), bool)
-        inside[nodes[:done]] = True
-        e = entry[done : done + len(now)]
-        start = np.stack([np.where((e >= 0) & inside[np.maximum(e, 0)], e, -1), np.full(len(now), nodes[0])], 1)
-        start[start[:, 0] == start[:, 1], 0] = -1
-        ids, sim = search(x[now], x, near, start, BUILD)
-        mine = _diverse(x, ids, sim, degree // 2)
-        near[now, : mine.shape[1]] = mine
+def build_layer(x: np.ndarray, n: int, degree: int) -> np.ndarray:
+    """Neighbour array (n, degree) of the first ``n`` rows, inserted in order in blocks."""
+    near = np.full((n, degree), -1, np.int32)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        sim = x[a:b] @ x[:b].T
+        sim[np.arange(a, b)[:, None] <= np.arange(b)[None, :]] = -np.inf  # only nodes before
+        m = min(CANDIDATES, b)
+        ids = np.argpartition(-sim, m - 1, axis=1)[:, :m] if m < b else np.broadcast_to(np.arange(b), sim.shape)
+        s = np.take_along_axis(sim, ids, 1)
+        order = np.argsort(-s, axis=1, kind="stable")
+        ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+        ids = np.where(np.isfinite(s), ids, -1)
+        mine = _diverse(x, ids, s, degree // 2)
+        near[a:b, : mine.shape[1]] = mine
         r, c = np.nonzero(mine >= 0)
-        src, dst = mine[r, c], now[r]
-        for u, v in _grouped(src, dst):
-            have = near[u]
-            room = np.flatnonzero(have < 0)
-            if len(room) >= len(v):
-                near[u, room[: len(v)]] = v
-            else:
-                cand = np.concatenate([have[have >= 0], v])
-                sc = x[cand] @ x[u]
-                o = np.argsort(-sc)
-                kept = _diverse(x, cand[o][None], sc[o][None], degree)[0]
-                near[u] = -1
-                near[u, : len(kept)] = kept
-        done += len(now)
+        _link(x, near, mine[r, c], a + r)
     return near
 
 
-def _grouped(src: np.ndarray, dst: np.ndarray):
+def _link(x: np.ndarray, near: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+    """Add the links src -> dst; nodes without room keep diverse ones of all they have."""
     o = np.argsort(src, kind="stable")
     src, dst = src[o], dst[o]
-    cut = np.flatnonzero(np.diff(src)) + 1
-    for s, d in zip(np.split(src, cut), np.split(dst, cut)):
-        if len(s):
-            yield s[0], d
+    who, first, count = np.unique(src, return_index=True, return_counts=True)
+    place = np.arange(len(src)) - np.repeat(first, count)
+    degree = near.shape[1]
+    have = (near[who] >= 0).sum(1)
+    room = have + count <= degree
+    put = np.repeat(room, count)
+    near[src[put], (np.repeat(have, count) + place)[put]] = dst[put]
+    for k in range(int(count[~room].max(initial=0)).bit_length()):  # nodes with like numbers of new links together
+        full = np.flatnonzero(~room & (count >= 1 << k) & (count < 2 << k))
+        for part in np.array_split(full, max(1, len(full) * (degree + (2 << k)) // (1 << 18))):
+            if not len(part):
+                continue
+            wide = np.full((len(part), degree + (2 << k)), -1, np.int64)
+            wide[:, :degree] = near[who[part]]
+            for i, j in enumerate(part):
+                wide[i, degree : degree + count[j]] = dst[first[j] : first[j] + count[j]]
+            s = np.where(wide >= 0, np.einsum("umd,ud->um", x[wide], x[who[part]]), -np.inf)
+            order = np.argsort(-s, axis=1, kind="stable")
+            near[who[part]] = _diverse(x, np.take_along_axis(wide, order, 1), np.take_along_axis(s, order, 1), degree)
 
 
 def lengthened(x: np.ndarray) -> np.ndarray:
@@ -139,31 +146,28 @@ def lengthened(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Layers from the top down; ``near[k]`` holds flat neighbour arrays."""
-
-    def __init__(self, vectors: np.ndarray, near: list[np.ndarray] | None = None, top: int = 0):
-        self.x, self.top = lengthened(vectors), top
-        if near is not None:
-            self.near = near
-            return
-        n = len(vectors)
-        level = (-np.log(1 - np.random.default_rng(7).random(n)) / np.log(DEGREE)).astype(int)
-        self.near, entry = [], np.full(n, -1)
-        order = np.argsort(-level, kind="stable")
-        self.top = int(order[0])
-        for lv in range(int(level.max()), -1, -1):
-            nodes = order[level[order] >= lv]
-            if self.near:
-                entry = search(self.x[nodes], self.x, self.near[-1], np.full((len(nodes), 1), self.top), 4)[0][:, 0]
-                entry = np.where(entry == nodes, -1, entry)
-            self.near.append(build_layer(self.x, nodes, entry if len(self.near) else np.full(len(nodes), -1), 2 * DEGREE))
+    """Layers from the top down; ``near[k]`` holds the neighbour arrays of the layer's nodes, a prefix of all."""
+
+    def __init__(self, vectors: np.ndarray, near: list[np.ndarray] | None = None):
+        """``vectors`` must be in an order that has nothing to do with them, as ``level_sizes`` deals levels by place."""
+        self.x = lengthened(vectors)
+        self.near = near if near is not None else [build_layer(self.x, n, 2 * DEGREE) for n in level_sizes(len(vectors))]
 
     def query(self, q: np.ndarray, k: int) -> np.ndarray:
         q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-        entry = np.full((len(q), 1), self.top)
+        entry = np.zeros((len(q), 1), np.int64)
         for near in self.near[:-1]:
-            entry = search(q, self.x, near, entry, 8)[0][:, :4]
-        return search(q, self.x, self.near[-1], entry, max(SEARCH, 2 * k))[0][:, :k]
+            entry = search(q, self.x[: len(near)], near, entry, 16)[0][:, :8]
+        ef = max(SEARCH, 2 * k, int(REACH * len(self.x) ** 0.5))
+        return search(q, self.x, self.near[-1], entry, ef)[0][:, :k]
+
+
+def level_sizes(n: int) -> list[int]:
+    """Nodes of each layer from the top: every layer has a DEGREE-th of the one below."""
+    out = [n]
+    while out[0] > 2 * DEGREE:
+        out.insert(0, -(-out[0] // DEGREE))
+    return out
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -173,70 +177,103 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
 
 
-def build_index(rows: DataFrame, k: int) -> DataFrame:
-    """Stored index, one row per shard: flat vectors, neighbour arrays and the ids behind each node."""
+INDEX = "dim int, shard int, n int, x binary, near binary, size binary, ids binary"
+
+
+def _batches(frames, keys: list[str]):
+    """The rows of each group of neighbouring equal keys, whole."""
+    kept, now = [], None
+    for b in frames:
+        for key, part in b.groupby(keys, sort=False):
+            if now is not None and key != now:
+                yield now, pd.concat(kept)
+                kept = []
+            now = key
+            kept.append(part)
+    if kept:
+        yield now, pd.concat(kept)
+
+
+def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """Stored index, one row per shard and length of vectors (flat vectors, neighbour arrays and the ids behind each node), and the number of shards."""
     w = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     nodes = written(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD))
-    keyed = nodes.select("v", "ids", F.size("v").alias("dim"), F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
-
-    def build(key, b: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(b["v"].to_list())
-        index = Index(x)
-        size = np.array([len(i) for i in b["ids"]], np.int32)
-        flat = np.concatenate([np.asarray(i, np.int64) for i in b["ids"]])
-        near = b"".join(a.tobytes() for a in index.near)
-        return pd.DataFrame([(key[0], key[1], len(x), len(index.near), index.top, x.tobytes(), near, size.tobytes(), flat.tobytes())],
-                            columns=["dim", "shard", "n", "layers", "top", "x", "near", "size", "ids"])
-
-    schema = "dim int, shard int, n int, layers int, top int, x binary, near binary, size binary, ids binary"
-    return written(keyed.groupBy("dim", "shard").applyInPandas(build, schema), "index")
+    n = nodes.count()
+    shards = max(1, -(-n // SHARD), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+    keyed = nodes.select("v", "ids", F.size("v").alias("dim"), F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("v", F.lit(5)).alias("h"))
+
+    def build(frames):
+        for (dim, shard), b in _batches(frames, ["dim", "shard"]):
+            x = np.stack(b["v"].to_list())
+            index = Index(x)
+            size = np.array([len(i) for i in b["ids"]], np.int32)
+            ids = np.concatenate([np.asarray(i, np.int64) for i in b["ids"]])
+            near = b"".join(a.tobytes() for a in index.near)
+            yield pd.DataFrame([(dim, shard, len(x), x.tobytes(), near, size.tobytes(), ids.tobytes())], columns=[f.split(" ")[0] for f in INDEX.split(", ")])
+
+    # A partition holds one shard, its rows ordered by a hash, which deals the levels.
+    dealt = keyed.repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "h")
+    return written(dealt.mapInPandas(build, INDEX), "index"), shards
+
+
+def _load(row) -> tuple[Index, np.ndarray, np.ndarray, np.ndarray]:
+    """Index, original vectors, ids, and where each node's ids start."""
+    x = np.frombuffer(row.x, np.float64).reshape(row.n, row.dim)
+    flat, near, at = np.frombuffer(row.near, np.int32), [], 0
+    for n in level_sizes(row.n):
+        near.append(flat[at : at + n * 2 * DEGREE].reshape(n, -1))
+        at += n * 2 * DEGREE
+    return Index(x, near), x, np.frombuffer(row.ids, np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(row.size, np.int32))))
+
+
+def _best(loaded, qid: np.ndarray, q: np.ndarray, k: int):
+    """(place of the query, vec_id, score) of the k best ids for each query in one shard."""
+    index, x, ids, cut = loaded
+    got = index.query(q, k + 1)
+    r, c = np.nonzero(got >= 0)
+    node = got[r, c]
+    score = (x[node] * q[r]).sum(1)
+    size = cut[node + 1] - cut[node]
+    who = ids[np.repeat(cut[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    r, score = np.repeat(r, size), np.repeat(score, size)
+    ok = who != qid[r]
+    r, who, score = r[ok], who[ok], score[ok]
+    order = np.lexsort((who, -score, r))
+    r, who, score = r[order], who[order], score[order]
+    ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[ok], who[ok], score[ok]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest rows of ``rows`` for each of ``queries``, both from ``usable``."""
-    index = build_index(rows, k)
-    groups = max(1, -(-queries.count() // GROUP))
-    q = queries.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("dim", F.size("v"))
-    top = index.agg(F.max("shard").alias("m")).first()["m"]
-    each = F.explode(F.sequence(F.lit(0), F.lit(top or 0)))
-
-    def pack(key, b: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(b["v"].to_list())
-        return pd.DataFrame([(key[0], key[1], b["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["dim", "grp", "qid", "q"])
-
-    blocks = q.groupBy("dim", "grp").applyInPandas(pack, "dim int, grp int, qid binary, q binary").withColumn("shard", each)
-    spread = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def ask(key, blocks: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for s in stored.itertuples(index=False):
-            dim = s.dim
-            x = np.frombuffer(s.x, np.float64).reshape(s.n, dim)
-            near = np.frombuffer(s.near, np.int32).reshape(s.layers, s.n, -1)
-            size = np.frombuffer(s.size, np.int32)
-            cut = np.concatenate(([0], np.cumsum(size)))
-            ids = np.frombuffer(s.ids, np.int64)
-            find = Index(x, list(near), s.top)
-            for b in blocks.itertuples(index=False):
-                qid, q = np.frombuffer(b.qid, np.int64), np.frombuffer(b.q, np.float64).reshape(-1, dim)
-                for a in range(0, len(q), 512):
-                    got = find.query(q[a : a + 512], k + 1)
-                    for i, own, v in zip(qid[a : a + 512], got, q[a : a + 512]):
-                        own = own[own >= 0]
-                        score = (x[own] * v).sum(1)
-                        who = np.concatenate([ids[cut[j] : cut[j + 1]] for j in own]) if len(own) else np.zeros(0, np.int64)
-                        sc = np.repeat(score, size[own])
-                        ok = who != i
-                        who, sc = who[ok], sc[ok]
-                        best = np.lexsort((who, -sc))[:k]
-                        out.append(pd.DataFrame({"query_id": i, "vec_id": who[best], "score": sc[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    key = ["dim", "grp", "shard"]
-    found = blocks.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(ask, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    index, shards = build_index(rows, k)
+    # Numbers are never null here, so that pandas keeps them whole.
+    blank = {"x": "binary", "near": "binary", "size": "binary", "ids": "binary"}
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    q = queries.distinct().select(F.size("v").alias("dim"), F.lit(1).alias("seq"), "vec_id", "v", F.xxhash64("v").alias("h"), each).withColumn("n", F.lit(0))
+    q = q.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
+    first = index.withColumns({"seq": F.lit(0), "vec_id": F.lit(0).cast("long"), "v": F.lit(None).cast("array<double>"), "h": F.lit(0).cast("long")})
+    # In each partition an index comes first and its queries stream past it.
+    stream = first.unionByName(q).repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "seq")
+
+    def ask(frames):
+        at, loaded = None, None
+        for b in frames:
+            for (dim, shard), part in b.groupby(["dim", "shard"], sort=False):
+                for row in part[part["seq"] == 0].itertuples(index=False):
+                    at, loaded = (dim, shard), _load(row)
+                part = part[part["seq"] == 1]
+                if at != (dim, shard) or not len(part):  # no vector of this length in the shard
+                    continue
+                qid, h, v = part["vec_id"].to_numpy(np.int64), part["h"].to_numpy(np.int64), np.stack(part["v"].to_list())
+                step = max(1, min(512, MARKS // len(loaded[1])))
+                for a in range(0, len(qid), step):
+                    r, who, score = _best(loaded, qid[a : a + step], v[a : a + step], k)
+                    yield pd.DataFrame({"query_id": qid[a + r], "h": h[a + r], "vec_id": who, "score": score})
+
+    found = stream.mapInPandas(ask, "query_id long, h long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
