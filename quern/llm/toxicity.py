@@ -1,16 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-One model per class is fitted on labelled rows outside the held-out fold. Both share
-their lowest order: document frequencies of the words, gathered over all documents, so that
-rare expressions back off to the same counts; pairs do so by way of the pairs of both classes together. A text's feature is its length-normalised
-log-likelihood ratio, toxic against ordinary; a logistic curve, fitted on cross-fitted ratios of
-the training rows, turns it into a score.
-
-Bound: at most SAMPLE distinct texts of each class, of at most SAMPLE_CHARS characters
-each, by the order of a hash of the text, are used for fitting. No expression of them is left
+One model per class is fitted on labelled rows outside the held-out fold. Expressions count the texts they stand in. A class's
+bigrams, discounted, back off to the discounted bigrams of both classes together, shifted by the class's lower order: continuation
+counts, the numbers of distinct predecessors of a word in the class, discounted over document frequencies gathered over all
+documents. Both classes thus share their backoff counts, and share of it too: a context's weight is the same for
+both, so that expressions rare in either class tell little.
+
+Log-likelihood ratios, toxic against ordinary, are divided by the length of what they cover: the whole text, and its most toxic passage of
+PASSAGE words, since a toxic text may be ordinary for the most part. A logistic curve of both, fitted on cross-fitted
+ratios of the training rows, turns them into a score.
+
+DISCOUNT, SHARED, FLOOR, BACKOFF and PASSAGE were chosen by cross-fitted AUC on training rows alone.
+
+Bound: at most SAMPLE distinct texts of each class, by the order of a hash of the text, are used for fitting; texts of more than SAMPLE_CHARS
+characters are left out of it, not cut. No expression of the others is left
 out. Every whole text is scored. Null and empty texts score the curve's value at ratio zero. Rows with a null label or
 without a document do not train. Where a class has no rows, every score is the
-share of toxic rows (0 without labels).
+share of toxic rows (0 without labels). Repeated rows give repeated results; an empty table gives none. Extra columns stay; one named
+``_toxicity`` is replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +36,15 @@ SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Below one, so that expressions of a single text keep a part of their count.
-DISCOUNT = 0.95
-#: So many texts of a context count for the backoff besides its own.
-STRENGTH = 10
+DISCOUNT = 0.9
+#: Weight of the document frequencies in a class's lower order, as a multiple of its continuation counts.
+SHARED = 1
+#: Documents that every word counts besides those it stands in: words of few documents tell little.
+FLOOR = 10
+#: Weight of the shared bigrams, as a multiple of their context's count.
+BACKOFF = 3
+#: Words of a passage.
+PASSAGE = 2
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,78 +58,78 @@ class KneserNey:
     def __init__(self, texts: list[list[str]], toxic: list[int], shared: dict[str, int], vocab: dict[str, int] | None = None):
         self.vocab = vocab or {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         v = self.v = len(self.vocab) + 1
-        base = np.full(v, 0.5)
+        base = np.full(v, float(FLOOR))
         for w, c in shared.items():
             if w in self.vocab:
                 base[self.vocab[w]] += c
         base /= base.sum()
         # Pairs count the texts they stand in, not their repeats within one text.
-        keys = [[], []]
+        keys: list[list[np.ndarray]] = [[], []]
         for t, y in zip(texts, toxic):
             i = self.ids(t)
             if len(i):
                 keys[y].append(np.unique(np.concatenate(([0], i[:-1])) * v + i))
         tables = [np.unique(np.concatenate(k or [np.zeros(0, np.int64)]), return_counts=True) for k in keys]
-        # Lower order: continuation counts, the distinct predecessors of a word in each class, over the shared document frequencies.
-        cont = [np.bincount(k % v, minlength=v).astype(float) for k, _ in tables]
-        kept = [np.maximum(n - DISCOUNT, 0) for n in cont]
-        lam = max(1 - k.sum() / max(n.sum(), 1) for k, n in zip(kept, cont))
-        uni = [(1 - lam) * k / max(k.sum(), 1e-9) + lam * base for k in kept]
-        # Middle order: the pairs of both classes together, discounted, over the shared lower order.
         both = np.unique(np.concatenate([k for k, _ in tables]))
         counts = [np.zeros(len(both)) for _ in tables]
         for into, (k, c) in zip(counts, tables):
             into[np.searchsorted(both, k)] = c
         prev, word = both // v, both % v
+        low = []
+        for c in counts:
+            n = np.bincount(word, weights=c > 0, minlength=v)
+            kept = np.maximum(n - DISCOUNT, 0)
+            rest = n.sum() - kept.sum() + SHARED * n.sum()
+            low.append((kept + rest * base) / max(kept.sum() + rest, 1e-9) if rest else base)
         pool = counts[0] + counts[1]
         total, types = np.bincount(prev, weights=pool, minlength=v), np.bincount(prev, minlength=v)
-        middle = (pool - DISCOUNT + DISCOUNT * types[prev] * base[word]) / total[prev]
-        # Higher order: every pair counts. Each context keeps one backoff weight for both classes, the larger one; what
-        # it backs off to is the middle order, shifted by each class's lower order, so that pairs rare in either class tell little.
-        own = [np.bincount(prev, weights=c, minlength=v)[prev] for c in counts]
-        over = [np.maximum(c - DISCOUNT, 0) for c in counts]
-        mass = [np.bincount(prev, weights=o, minlength=v)[prev] for o in over]
-        back = np.maximum(*[1 - m / (n + STRENGTH) for m, n in zip(mass, own)])
-        logs = [
-            np.log((1 - back) * o / np.maximum(m, 1e-9) + back * middle * u[word] / base[word])
-            for o, m, u in zip(over, mass, uni)
-        ]
+        middle = (np.maximum(pool - DISCOUNT, 0) + DISCOUNT * types[prev] * base[word]) / total[prev]
+        logs = []
+        for c, u in zip(counts, low):
+            kept = np.maximum(c - DISCOUNT, 0)
+            mass = np.bincount(prev, weights=kept, minlength=v)
+            back = BACKOFF * total
+            logs.append(np.log((kept + back[prev] * middle * u[word] / base[word]) / (mass + back)[prev]))
         self.keys = both
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
-        self.low = np.log(uni[1] / uni[0]).astype(np.float32)
+        self.low = np.log(low[1] / low[0]).astype(np.float32)
 
     def ids(self, text: list[str]) -> np.ndarray:
         get = self.vocab.get
         return np.fromiter((get(w, 0) for w in text), np.int64, len(text))
 
-    def score(self, text: list[str]) -> float:
-        """Length-normalised log-likelihood ratio of a whole text; 0 for none.
-
-        Each distinct expression counts once, so that repeated lines do not drown the
-        rest. Ratios are cubed before they are summed, and the root is taken again: a few clear
-        expressions outweigh many vague ones. The norm is the root of their number.
-        """
+    def features(self, text: list[str]) -> tuple[float, float]:
+        """Length-normalised log-likelihood ratios of the most toxic passage and of the whole text; 0 for none."""
         if not text:
-            return 0.0
+            return 0.0, 0.0
         i = self.ids(text)
-        k = np.unique(np.concatenate(([0], i[:-1])) * self.v + i)
-        out = self.low[k % self.v]
+        k = np.concatenate(([0], i[:-1])) * self.v + i
+        out = self.low[i]
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             out = np.where(self.keys[at] == k, self.ratio[at], out)
-        return float(np.cbrt((out.astype(np.float64) ** 3).sum() / np.sqrt(len(out))))
+        sums = np.concatenate(([0.0], np.cumsum(out, dtype=np.float64)))
+        whole = float(sums[-1] / len(out))
+        if len(out) <= PASSAGE:
+            return float(sums[-1] / PASSAGE), whole
+        return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE), whole
+
+    def score(self, text: list[str]) -> float:
+        """The ratio of the most toxic passage."""
+        return self.features(text)[0]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a small ridge; x is scaled by its deviation."""
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights of the columns of x and an intercept by Newton steps with a small ridge; columns are scaled by their deviations."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    a = np.column_stack([x / scale, np.ones(len(x))])
+    ridge = np.array([0.1] * x.shape[1] + [1e-3])
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.1, 1e-3])
-        w = w + np.linalg.solve(h, a.T @ (y - p) - np.array([0.1, 1e-3]) * w)
-    return float(w[0] / scale), float(w[1])
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        w = w + np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -143,21 +156,22 @@ def _document_frequency(docs: DataFrame, vocab, text: str = "text") -> dict[str,
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(model, slope, intercept, prior) from labelled rows that are not held out; model None if a class is empty."""
+    """(model, weights, prior) from labelled rows that are not held out; model None if a class is empty."""
     spark = docs.sparkSession
     train = labels.where(~held_out()).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
-    have = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = have.get(1, 0) / max(1, sum(have.values()))
     text = F.coalesce("text", F.lit(""))
-    prints = docs.where(F.length(text) <= SAMPLE_CHARS).select("doc_id", F.xxhash64(text).alias("h"))
+    prints = docs.select("doc_id", F.xxhash64(text).alias("h"), (F.length(text) <= SAMPLE_CHARS).alias("fits"))
     # One row per distinct text and class; texts themselves are neither shuffled nor sorted.
-    distinct = written(prints.join(train, "doc_id").groupBy("y", "h").agg(F.min("doc_id").alias("doc_id")), "train")
-    some = [distinct.where(F.col("y") == y).orderBy("h").limit(SAMPLE) for y in (0, 1)]
+    distinct = prints.join(train, "doc_id").groupBy("y", "h", "fits").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    distinct = written(distinct, "train")
+    have = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    prior = have.get(1, 0) / max(1, sum(have.values()))
+    some = [distinct.where("fits").drop("n", "fits").where(F.col("y") == y).orderBy("h").limit(SAMPLE) for y in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))  # at most 2 * SAMPLE rows of three numbers
     found = docs.select("doc_id", text.alias("t"), F.xxhash64(text).alias("h")).join(picked, ["doc_id", "h"])
     rows = sorted(found.groupBy("y", "h").agg(F.min("t").alias("t")).collect(), key=lambda r: (r["y"], r["h"]))
     if len({r["y"] for r in rows}) < 2:
-        return None, 0.0, 0.0, prior
+        return None, None, prior
     same: dict[str, str] = {}  # one object a word, or repeats fill the driver
     texts, y = [[same.setdefault(w, w) for w in words(r["t"])] for r in rows], [r["y"] for r in rows]
     vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
@@ -166,18 +180,18 @@ def fit(docs: DataFrame, labels: DataFrame):
     sent.unpersist()
     # Copies fall into one fold, so that no text is scored by a model that has met it.
     fold = [zlib.crc32(" ".join(t[:8]).encode()) % 2 for t in texts]
-    x = np.zeros(len(texts))
+    x = np.zeros((len(texts), 2))
     for f in (0, 1):
         own = [k for k in range(len(texts)) if fold[k] != f]
         m = KneserNey([texts[k] for k in own], [y[k] for k in own], shared, vocab)
         for k in range(len(texts)):
             if fold[k] == f:
-                x[k] = m.score(texts[k])
-    slope, cut = logistic(x, np.array(y, float))
+                x[k] = m.features(texts[k])
+    weights = logistic(x, np.array(y, float))
     part = sum(y) / len(y)
     # The sample's share of toxic rows differs from that of all labelled rows.
-    cut += np.log(prior / (1 - prior)) - np.log(part / (1 - part))
-    return KneserNey(texts, y, shared, vocab), slope, float(cut), prior
+    weights[-1] += np.log(prior / (1 - prior)) - np.log(part / (1 - part))
+    return KneserNey(texts, y, shared, vocab), weights, prior
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,8 +200,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf(struct("score double, predicted int"))
     def go(texts: pd.Series) -> pd.DataFrame:
-        m, slope, cut, prior = model.value
-        s = np.array([1 / (1 + np.exp(-np.clip(slope * m.score(words(t)) + cut, -30, 30))) if m else prior for t in texts], float)
+        m, weights, prior = model.value
+        s = np.full(len(texts), float(prior))
+        if m and len(texts):
+            x = np.array([m.features(words(t)) for t in texts])
+            s = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
         return pd.DataFrame({"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
 
     return docs.withColumn("_toxicity", go(F.col("text")))
