@@ -1,11 +1,12 @@
 """ISO media containers: store payloads as raw samples, walk boxes, decode sample tables.
 
 ``mux`` stores bytes losslessly as 8-bit samples of 576 bytes each in an ISO
-base media file; ``probe`` walks the nested boxes of any such file and reads codec, duration and
-the byte ranges of keyframes from the sample tables without touching the payload.
+base media file; ``probe`` walks the nested boxes of any such file and reads of every track its handler, codec, duration and
+the byte ranges of keyframes from the sample tables, and from the runs of movie fragments, without touching the payload.
 
 Null texts count as empty. A payload always has at least one sample. A
-damaged file gives a result with an ``error`` instead of a failed task.
+damaged file gives a result with an ``error`` instead of a failed task. Repeated rows give repeated results, an empty table none. Extra columns
+stay in ``probe_column``; one named ``media_info`` is replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from quern.llm.common import struct as fields
 SAMPLE = 576
 RATE = 48000
 #: Boxes whose content is a list of boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
-PROBE = fields("codec string, timescale long, duration long, n_samples long, n_keyframes long")
-PROBE.add("ranges", T.ArrayType(fields("at long, size long"))).add("error", TYPES["string"])
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
+TRACK = fields("track_id long, handler string, codec string, timescale long, duration long, n_samples long, n_keyframes long")
+TRACK.add("ranges", T.ArrayType(fields("at long, size long")))
+PROBE = T.StructType([T.StructField("tracks", T.ArrayType(TRACK)), T.StructField("error", TYPES["string"])])
 
 
 def pad(data: bytes) -> bytes:
@@ -93,36 +95,65 @@ def boxes(data: memoryview, at: int, end: int):
         at += size
 
 
-def tracks(data: memoryview) -> list[dict]:
-    """For each track the boxes of its sample tables: kind -> (start, end)."""
-    out: list[dict] = []
-    todo = [(0, len(data), None)]
-    while todo:
-        at, end, own = todo.pop()
-        for kind, a, b in boxes(data, at, end):
-            if kind == b"trak":
-                out.append(t := {})
-                todo.append((a, b, t))
-            elif kind in NESTED:
-                todo.append((a, b, own))
-            elif own is not None:
-                own[kind] = (a, b)
-    return out
-
-
 def _ints(data, at: int, n: int, form: str = "I") -> tuple:
     return struct.unpack_from(f">{n}{form}", data, at)
 
 
+def _walk(data: memoryview, at: int, end: int, above: tuple = ()):
+    """(path of kinds, start of content, end, starts of the boxes around) of all boxes, in file order, without recursion."""
+    todo = [boxes(data, at, end)]
+    path: list[tuple[bytes, int]] = []
+    while todo:
+        for kind, a, b in todo[-1]:
+            yield tuple(k for k, _ in path) + (kind,), a, b, tuple(x for _, x in path)
+            if kind in NESTED:
+                path.append((kind, a))
+                todo.append(boxes(data, a, b))
+                break
+        else:
+            todo.pop()
+            if path:
+                path.pop()
+
+
+def tables(data: memoryview) -> tuple[dict[int, dict], dict[int, tuple], list[dict]]:
+    """Per ``trak`` its boxes (kind -> start), defaults of fragments by track, and the fragments' ``traf`` boxes in file order."""
+    traks: dict[int, dict] = {}
+    defaults: dict[int, tuple] = {}
+    frags: dict[int, dict] = {}
+    for path, a, _, around in _walk(data, 0, len(data)):
+        if path == (b"moov", b"mvex", b"trex"):
+            defaults[_ints(data, a + 4, 1)[0]] = _ints(data, a + 8, 4)[1:]  # duration, size, flags
+        elif path[:2] == (b"moov", b"trak") and len(path) > 2:
+            traks.setdefault(around[1], {})[path[-1]] = a
+        elif path[:2] == (b"moof", b"traf") and len(path) > 2:
+            frag = frags.setdefault(around[1], {"moof": around[0] - 8, "trun": []})
+            if path[-1] == b"trun":
+                frag["trun"].append(a)
+            else:
+                frag[path[-1]] = a
+    return traks, defaults, list(frags.values())
+
+
+def _sizes(data, t: dict) -> list[int]:
+    if b"stz2" in t:
+        a = t[b"stz2"]
+        bits, n = data[a + 7], _ints(data, a + 8, 1)[0]
+        if bits == 4:
+            return [data[a + 12 + k // 2] >> (0 if k % 2 else 4) & 15 for k in range(n)]
+        return list(_ints(data, a + 12, n, {8: "B", 16: "H"}[bits]))
+    a = t[b"stsz"]
+    fixed, n = _ints(data, a + 4, 2)
+    return [fixed] * n if fixed else list(_ints(data, a + 12, n))
+
+
 def sample_ranges(data: memoryview, t: dict) -> tuple[list[tuple[int, int]], list[bool]]:
     """Byte range of every sample, and whether it is a keyframe (all are where there is no stss)."""
-    a = t[b"stsz"][0]
-    fixed, n = _ints(data, a + 4, 2)
-    sizes = [fixed] * n if fixed else list(_ints(data, a + 12, n))
+    sizes = _sizes(data, t)
     wide = b"co64" in t
-    a = t[b"co64" if wide else b"stco"][0]
+    a = t[b"co64" if wide else b"stco"]
     chunks = _ints(data, a + 8, _ints(data, a + 4, 1)[0], "Q" if wide else "I")
-    a = t[b"stsc"][0]
+    a = t[b"stsc"]
     runs = [_ints(data, a + 8 + 12 * k, 3) for k in range(_ints(data, a + 4, 1)[0])]
     out, s = [], 0
     for k, (first, per, _) in enumerate(runs):
@@ -133,39 +164,105 @@ def sample_ranges(data: memoryview, t: dict) -> tuple[list[tuple[int, int]], lis
                 at += size
             s += per
     if b"stss" in t:
-        a = t[b"stss"][0]
+        a = t[b"stss"]
         key = set(_ints(data, a + 8, _ints(data, a + 4, 1)[0]))
         return out, [k + 1 in key for k in range(len(out))]
     return out, [True] * len(out)
 
 
-def probe(media: bytes) -> dict:
-    """Codec, timescale, duration and joined byte ranges of the keyframes of the first track."""
-    nothing = {"codec": None, "timescale": None, "duration": None, "n_samples": 0, "n_keyframes": 0, "ranges": []}
+#: Flag of a fragment's sample that is no keyframe.
+NOT_SYNC = 0x10000
+
+
+def fragment_ranges(data, frag: dict, defaults: dict[int, tuple], end: int) -> tuple[int, list, list, int, int]:
+    """Track, byte ranges, keyframe marks, duration and end of the data of one ``traf``; ``end`` is where the one before ended."""
+    a = frag[b"tfhd"]
+    flags, track = _ints(data, a, 2)
+    flags &= 0xFFFFFF
+    duration, size, mark = defaults.get(track, (0, 0, 0))
+    at, base = a + 8, frag["moof"] if flags & 0x20000 or end < 0 else end
+    if flags & 1:
+        base, at = _ints(data, at, 1, "Q")[0], at + 8
+    at += 4 if flags & 2 else 0
+    if flags & 8:
+        duration, at = _ints(data, at, 1)[0], at + 4
+    if flags & 16:
+        size, at = _ints(data, at, 1)[0], at + 4
+    if flags & 32:
+        mark = _ints(data, at, 1)[0]
+    out, key, total, now = [], [], 0, base
+    for a in frag["trun"]:
+        flags, n = _ints(data, a, 2)
+        flags &= 0xFFFFFF
+        at, first = a + 8, None
+        if flags & 1:
+            now, at = base + _ints(data, at, 1, "i")[0], at + 4
+        if flags & 4:
+            first, at = _ints(data, at, 1)[0], at + 4
+        for k in range(n):
+            d, z, m = duration, size, first if first is not None and not k else mark
+            if flags & 0x100:
+                d, at = _ints(data, at, 1)[0], at + 4
+            if flags & 0x200:
+                z, at = _ints(data, at, 1)[0], at + 4
+            if flags & 0x400:
+                m, at = _ints(data, at, 1)[0], at + 4
+            at += 4 if flags & 0x800 else 0
+            out.append((now, z))
+            key.append(not m & NOT_SYNC)
+            total += d
+            now += z
+    return track, out, key, total, now
+
+
+def _joined(samples: list[tuple[int, int]], key: list[bool]) -> list[dict]:
+    """Byte ranges of the keyframes; touching ones become one."""
+    ranges: list[list[int]] = []
+    for (at, size), k in zip(samples, key):
+        if k and ranges and sum(ranges[-1]) == at:
+            ranges[-1][1] += size
+        elif k:
+            ranges.append([at, size])
+    return [{"at": a, "size": s} for a, s in ranges]
+
+
+def probe(media: bytes | None) -> dict:
+    """Every track's handler, codec, timescale, duration, samples and joined byte ranges of its keyframes; or the error met."""
     try:
         data = memoryview(media or b"")
-        found = tracks(data)
-        if not found:
-            return nothing | {"error": "no track"}
-        t = found[0]
-        codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
-        a = t[b"mdhd"][0]
-        scale = _ints(data, a + (20 if data[a] == 1 else 12), 1)[0]
-        a = t[b"stts"][0]
-        pairs = [_ints(data, a + 8 + 8 * k, 2) for k in range(_ints(data, a + 4, 1)[0])]
-        samples, key = sample_ranges(data, t)
-        ranges: list[list[int]] = []
-        for (at, size), k in zip(samples, key):
-            if k and ranges and ranges[-1][0] + ranges[-1][1] == at:
-                ranges[-1][1] += size
-            elif k:
-                ranges.append([at, size])
-        return {
-            "codec": codec, "timescale": scale, "duration": sum(n * d for n, d in pairs), "n_samples": len(samples),
-            "n_keyframes": sum(key), "ranges": [{"at": a, "size": s} for a, s in ranges], "error": None,
-        }
+        traks, defaults, frags = tables(data)
+        if not traks:
+            return {"tracks": [], "error": "no track"}
+        more: dict[int, list] = {}
+        end = -1
+        for k, frag in enumerate(frags):
+            if k and frag["moof"] != frags[k - 1]["moof"]:
+                end = -1
+            track, samples, key, total, end = fragment_ranges(data, frag, defaults, end)
+            more.setdefault(track, []).append((samples, key, total))
+        out = []
+        for t in traks.values():
+            a = t[b"tkhd"]
+            number = _ints(data, a + (20 if data[a] == 1 else 12), 1)[0]
+            handler = bytes(data[t[b"hdlr"] + 8 : t[b"hdlr"] + 12]).decode("latin-1")
+            codec = bytes(data[t[b"stsd"] + 12 : t[b"stsd"] + 16]).decode("latin-1")
+            a = t[b"mdhd"]
+            scale = _ints(data, a + (20 if data[a] == 1 else 12), 1)[0]
+            a = t[b"stts"]
+            pairs = [_ints(data, a + 8 + 8 * k, 2) for k in range(_ints(data, a + 4, 1)[0])]
+            samples, key = sample_ranges(data, t)
+            duration = sum(n * d for n, d in pairs)
+            for s, k, d in more.get(number, ()):
+                samples, key, duration = samples + s, key + k, duration + d
+            if any(at + size > len(data) for at, size in samples):
+                raise ValueError(f"track {number} has samples beyond the end")
+            out.append({
+                "track_id": number, "handler": handler, "codec": codec, "timescale": scale, "duration": duration, "n_samples": len(samples),
+                "n_keyframes": sum(key), "ranges": _joined(samples, key),
+            })
+        return {"tracks": out, "error": None}
     except (struct.error, ValueError, KeyError, IndexError) as e:
-        return nothing | {"error": f"{type(e).__name__}: {e}"}
+        return {"tracks": [], "error": f"{type(e).__name__}: {e}"}
 
 
 @F.pandas_udf(fields("n_bytes long, media binary"))
@@ -179,16 +276,26 @@ def _probe(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([probe(m) for m in media], columns=PROBE.names)
 
 
-@F.pandas_udf(fields("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digest(media: bytes | None) -> tuple:
+    """The payload that the first track's samples hold, read back, and what the boxes tell; a damaged file has no payload and its error as feature."""
+    m, p = media or b"", probe(media)
+    own = (len(m), hashlib.sha256(m).hexdigest())
+    if p["error"]:
+        return None, None, None, *own, f"error={p['error']}"
+    t = p["tracks"][0]
+    data = b"".join(m[r["at"] : r["at"] + r["size"]] for r in t["ranges"])
+    spans = ";".join(f"{r['at']}+{r['size']}" for r in t["ranges"])
+    feature = f"codec={t['codec'].strip()} rate={t['timescale']} duration={t['duration']} samples={t['n_samples']} keyframes={t['n_keyframes']} ranges={spans}"
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), *own, feature
+
+
+@F.pandas_udf(fields(DIGEST))
 def _digest(media: pd.Series) -> pd.DataFrame:
-    rows = []
-    for m in media:
-        p = probe(m)
-        data = b"".join(m[r["at"] : r["at"] + r["size"]] for r in p["ranges"])
-        spans = ";".join(f"{r['at']}+{r['size']}" for r in p["ranges"])
-        feature = f"codec={p['codec'].strip()} rate={p['timescale']} duration={p['duration']} samples={p['n_samples']} keyframes={p['n_keyframes']} ranges={spans}"
-        rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    out = pd.DataFrame([digest(m) for m in media], columns=[f.split(" ")[0] for f in DIGEST.split(", ")])
+    return out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
