@@ -1 +1 @@
-"""Spark-native decision and graph analytics."""
+"""Scalar functions of columns: float32 arithmetic, bit masks, combinatorics, parsing and names."""

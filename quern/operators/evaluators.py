@@ -1,93 +1,424 @@
-"""Pair and combination evaluators with their aggregates, as SQL for both engines.
+"""Evaluators of pairs, candidates, moves, scenarios and combinations, over any DataFrames with the entity columns.
 
-Small sides are broadcast by size (hints are ours to check: resources and zones are entity tables
-of a fixed number of rows); pairs stream into a partial aggregate and are never stored.
+An evaluator is a set of columns over the joined sides: the first side's columns keep their names, the second
+side's are prefixed ``r_``. Pairs and candidates stream through expressions and are never stored. A side is broadcast only if it has at most
+BROADCAST_ROWS rows; otherwise Spark deals the product by blocks, or shuffles by key.
 """
 
 from __future__ import annotations
 
-from quern.sources import generators as g
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def cost_pairs(tasks: int, resources: int) -> str:
-    return f"""(SELECT task_id, resource_id, ok,
-  CASE WHEN ok THEN 0.11f*d + 0.65f*cast(d/speed as float) + 31f*load + 7f*priority
-    + (CASE WHEN urgent THEN 2.75f*late + 15f ELSE 0.85f*late END)
-    + (CASE WHEN load > 0.82f THEN 115f WHEN load > 0.62f THEN 35f ELSE 0f END)
-    + (CASE WHEN abs(tx-ry) > 410f THEN 22f ELSE 0f END) END AS cost
-  FROM (SELECT *, fit AND late <= (CASE WHEN urgent THEN 80f ELSE 240f END) AS ok
-    FROM (SELECT *, greatest(0f, available + cast(d/speed as float) - deadline) AS late, skill & mask <> 0 AND d <= (CASE WHEN urgent THEN 620f ELSE 980f END) AS fit
-      FROM (SELECT t.task_id, r.resource_id, t.x AS tx, r.y AS ry, t.deadline, t.priority, t.skill, t.urgent, r.load, r.speed, r.available, r.mask,
-        cast(sqrt((t.x-r.x)*(t.x-r.x) + (t.y-r.y)*(t.y-r.y)) AS float) AS d
-        FROM {g.cost_tasks(tasks)} t CROSS JOIN {g.cost_resources(resources)} r))))"""
+from quern.functions.scalars import (
+    bit, choose, clamp01, combination_rank, f, flags, has_all, has_any, overlaps, popcount, ratio, real, root, squared_distance, zone_forbidden,
+)
+from quern.sources.entities import BROADCAST_ROWS
 
+C = F.col
+CONSTRAINTS = ("skill", "capacity", "task_window", "resource_window", "distance", "zone", "risk")
+ASSIGNMENT = ("skill", "capacity", "time", "distance", "zone", "risk")
+MOVES = ("skill", "capacity", "distance", "risk", "no_change")
+SCENARIOS = ("failure", "capacity", "risk", "delay")
+COMBINATIONS = ("budget", "risk", "coverage", "spread")
+EVENTS = ("none", "enter", "exit", "stay", "cross")
 
-def cost_summary(tasks: int = 64, resources: int = 64) -> str:
-    return f"SELECT count(CASE WHEN ok THEN 1 END) AS feasible_count, round(sum(cast(cost AS double)), 1) AS checksum FROM {cost_pairs(tasks, resources)}"
 
+def prefixed(df: DataFrame, prefix: str = "r_") -> DataFrame:
+    return df.select(*[C(c).alias(prefix + c) for c in df.columns])
 
-def spatial_events(n: int, m: int) -> str:
-    hit = """CASE WHEN a AND b THEN 3 WHEN a THEN 2 WHEN b THEN 1
-      WHEN seg > 0.000001f AND (x0+p*dx-x)*(x0+p*dx-x) + (y0+p*dy-y)*(y0+p*dy-y) <= radius*radius THEN 4 ELSE 0 END"""
-    return f"""(SELECT track_id, zone_id, code, CASE code WHEN 1 THEN severity*(4f+0.03f*speed) WHEN 2 THEN severity*(3f+0.02f*speed)
-    WHEN 3 THEN severity*(1f+0.01f*speed) WHEN 4 THEN severity*(5f+0.04f*speed) ELSE 0f END AS score
-  FROM (SELECT *, {hit} AS code
-    FROM (SELECT *, CASE WHEN seg > 0.000001f THEN greatest(0f, least(1f, cast(((x-x0)*dx + (y-y0)*dy)/seg as float))) ELSE 0f END AS p
-      FROM (SELECT t.*, z.*, x1-x0 AS dx, y1-y0 AS dy, (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) AS seg,
-        (x0-x)*(x0-x)+(y0-y)*(y0-y) <= radius*radius AS a, (x1-x)*(x1-x)+(y1-y)*(y1-y) <= radius*radius AS b
-        FROM {g.tracks(n)} t CROSS JOIN {g.zones(m)} z))))"""
 
+def small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def spatial_summary(n: int = 64, m: int = 32) -> str:
-    return f"SELECT cast(code AS bigint) AS code, count(*) AS events, round(sum(cast(score AS double)), 2) AS score FROM {spatial_events(n, m)} GROUP BY code"
 
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.crossJoin(small(prefixed(b)))
 
-def assignment_pairs(tasks: int, resources: int) -> str:
-    return f"""(SELECT task_id, resource_id, mask, CASE WHEN mask = 0 THEN 0.035f*d2 + 40f*load + 75f*risk - 18f*priority + 0.1f*cast(duration AS float) END AS cost
-  FROM (SELECT task_id, resource_id, d2, load, risk, priority, duration,
-    (CASE WHEN (have & need) <> need THEN 1 ELSE 0 END) | (CASE WHEN capacity < demand THEN 2 ELSE 0 END)
-    | (CASE WHEN begins < opens OR begins + duration > closes OR begins + duration > latest THEN 4 ELSE 0 END) | (CASE WHEN d2 > reach*reach THEN 8 ELSE 0 END)
-    | (CASE WHEN (forbid & (1 << zone)) <> 0 THEN 16 ELSE 0 END) | (CASE WHEN risk > tolerance THEN 32 ELSE 0 END) AS mask
-    FROM (SELECT task_id, resource_id, need, demand, latest, duration, zone, priority, risk, r.mask AS have, capacity, opens, closes, forbid, reach, tolerance, load,
-      (t.x-r.x)*(t.x-r.x)+(t.y-r.y)*(t.y-r.y) AS d2, earliest + cast(floor(17f*load) AS int) AS begins
-      FROM {g.assignment_tasks(tasks)} t CROSS JOIN {g.assignment_resources(resources)} r)))"""
 
+def _distance2() -> Column:
+    return squared_distance(C("x"), C("y"), C("r_x"), C("r_y"))
 
-def assignment_reasons(tasks: int = 64, resources: int = 128) -> str:
-    names = ("skill", "capacity", "time", "distance", "zone", "risk")
-    each = ", ".join(f"count(CASE WHEN (mask & {1 << k}) <> 0 THEN 1 END) AS {n}" for k, n in enumerate(names))
-    return f"SELECT count(CASE WHEN mask = 0 THEN 1 END) AS feasible, {each} FROM {assignment_pairs(tasks, resources)}"
 
+def _reasons(names: tuple, mask: str = "mask") -> list[Column]:
+    return [F.count_if(C(mask).bitwiseAND(1 << k) != 0).alias(n) for k, n in enumerate(names)]
 
-def assignment_topk(tasks: int = 64, resources: int = 128, k: int = 4) -> str:
-    return f"""SELECT cast(task_id AS bigint) AS task_id, cast(rank AS bigint) AS rank, cast(resource_id AS bigint) AS resource_id, round(cast(cost AS double), 2) AS cost
-  FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY cost, resource_id) AS rank FROM {assignment_pairs(tasks, resources)} WHERE mask = 0) WHERE rank <= {k}"""
 
+def _milli(x: Column) -> Column:
+    """Thousandths, cut to whole numbers: their sums do not depend on any order."""
+    return F.floor(x.cast("double") * 1000)
 
-def combinations(n: int = 64) -> str:
-    """All triples of n items under the rules; rank is the lexicographic number of the triple."""
-    far = "greatest({})".format(", ".join(f"({p}.x-{q}.x)*({p}.x-{q}.x)+({p}.y-{q}.y)*({p}.y-{q}.y)" for p, q in ("ab", "ac", "bc")))
-    return f"""SELECT count(CASE WHEN mask=0 THEN 1 END) AS valid, count(CASE WHEN (mask & 1)<>0 THEN 1 END) AS budget, count(CASE WHEN (mask & 2)<>0 THEN 1 END) AS risk,
-  count(CASE WHEN (mask & 4)<>0 THEN 1 END) AS coverage, count(CASE WHEN (mask & 8)<>0 THEN 1 END) AS spread,
-  max(CASE WHEN mask=0 THEN score END) AS best_score, cast(sum((rank+1)*13 + mask*1000003 + score*97) AS bigint) AS checksum
-  FROM (SELECT rank, 100*v-3*c-7*r+25*cast(bit_count(cov) AS int)+(CASE WHEN far <= 176400 THEN 50 ELSE 0 END) AS score,
-    cast((CASE WHEN c > 165 THEN 1 ELSE 0 END)+(CASE WHEN r > 114 THEN 2 ELSE 0 END)+(CASE WHEN (cov & 7) <> 7 THEN 4 ELSE 0 END)+(CASE WHEN far > 176400 THEN 8 ELSE 0 END) AS bigint) AS mask
-    FROM (SELECT a.value+b.value+c.value AS v, a.cost+b.cost+c.cost AS c, a.risk+b.risk+c.risk AS r, a.cat|b.cat|c.cat AS cov, {far} AS far,
-      cast({n * (n - 1) * (n - 2) // 6} - ({n}-a.i)*({n}-a.i-1)*({n}-a.i-2)/6 + ({n}-a.i-1)*({n}-a.i-2)/2 - ({n}-b.i)*({n}-b.i-1)/2 + (c.i-b.i-1) AS bigint) AS rank
-      FROM {g.items(n)} a JOIN {g.items(n)} b ON a.i < b.i JOIN {g.items(n)} c ON b.i < c.i))"""
 
+# Cost matrix
 
-def smoke(n: int = 1024) -> str:
-    x = "(cast(i%1024+1 AS double)*0.001e0)"
-    return f"SELECT count(*) AS n, round(sum({x}*{x}+2e0*{x}+1e0), 6) AS checksum FROM RANGE({n})"
 
+def cost_pairs(tasks: DataFrame, resources: DataFrame, feasible_only: bool = False) -> DataFrame:
+    """(task_id, resource_id, feasible, cost) of all pairs; cost is null where infeasible.
 
-def polynomial(n: int = 1024, degree: int = 15) -> str:
-    power, coefficients = 1.0, []
-    for d in range(degree + 1):
-        coefficients.append((-1) ** d / (d + 1) * power)
-        power *= 1e-5
-    out = f"{coefficients[-1]:.17e}"
-    for c in reversed(coefficients[:-1]):
-        out = f"({out}*x+({c:.17e}))"
-    return f"SELECT count(*) AS n, round(sum({out}), 6) AS checksum FROM (SELECT cast(i%4096+1 AS double)*1e2 AS x FROM RANGE({n}))"
+    With ``feasible_only`` pairs meet by skill instead: resources are exploded by their skills, and a pair counts at its lowest common one.
+    """
+    if feasible_only:
+        each = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("s")
+        r = prefixed(resources)
+        r = r.select("*", each).where(C("r_mask").bitwiseAND(bit(C("s"))) != 0)
+        t = tasks.select("*", each).where(C("skill").bitwiseAND(bit(C("s"))) != 0)
+        common = C("skill").bitwiseAND(C("r_mask"))
+        pairs = t.join(small(r), "s").where(common.bitwiseAND(-common) == bit(C("s")))
+    else:
+        pairs = product(tasks, resources)
+    d = root(_distance2())
+    late = F.greatest(f(0), C("r_available") + ratio(d, C("r_speed")) - C("deadline"))
+    urgent, load = C("urgent"), C("r_load")
+    ok = has_any(C("skill"), C("r_mask")) & (d <= F.when(urgent, f(620)).otherwise(f(980))) & (late <= F.when(urgent, f(80)).otherwise(f(240)))
+    cost = f(0.11) * d + f(0.65) * ratio(d, C("r_speed")) + f(31) * load + f(7) * C("priority")
+    cost = cost + F.when(urgent, f(2.75) * late + f(15)).otherwise(f(0.85) * late)
+    cost = cost + F.when(load > f(0.82), f(115)).when(load > f(0.62), f(35)).otherwise(f(0))
+    cost = cost + F.when(F.abs(C("x") - C("r_y")) > f(410), f(22)).otherwise(f(0))
+    out = pairs.select("task_id", C("r_resource_id").alias("resource_id"), ok.alias("feasible"), F.when(ok, cost).alias("cost"))
+    return out.where("feasible") if feasible_only else out
+
+
+def cost_summary(pairs: DataFrame) -> DataFrame:
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if("feasible").alias("feasible_count"), F.sum(_milli(C("cost"))).alias("checksum_milli"))
+
+
+# Spatial events
+
+
+def _event_columns() -> tuple[Column, Column]:
+    inside0 = squared_distance(C("x0"), C("y0"), C("r_x"), C("r_y")) <= C("r_radius") * C("r_radius")
+    inside1 = squared_distance(C("x1"), C("y1"), C("r_x"), C("r_y")) <= C("r_radius") * C("r_radius")
+    dx, dy = C("x1") - C("x0"), C("y1") - C("y0")
+    length2 = dx * dx + dy * dy
+    p = F.when(length2 > f(1e-6), clamp01(ratio((C("r_x") - C("x0")) * dx + (C("r_y") - C("y0")) * dy, length2))).otherwise(f(0))
+    near2 = squared_distance(C("x0") + p * dx, C("y0") + p * dy, C("r_x"), C("r_y"))
+    code = F.when(inside0 & inside1, 3).when(inside0, 2).when(inside1, 1).when((length2 > f(1e-6)) & (near2 <= C("r_radius") * C("r_radius")), 4).otherwise(0)
+    base = {1: (4, 0.03), 2: (3, 0.02), 3: (1, 0.01), 4: (5, 0.04)}
+    score = reduce(lambda w, k: w.when(C("code") == k, C("r_severity") * (f(base[k][0]) + f(base[k][1]) * C("speed"))), base, F.when(C("code") == 0, f(0)))
+    return code, score
+
+
+def _classified(pairs: DataFrame) -> DataFrame:
+    code, score = _event_columns()
+    return pairs.withColumn("code", code).select("track_id", C("r_zone_id").alias("zone_id"), "code", score.alias("score"))
+
+
+def spatial_matrix(tracks: DataFrame, zones: DataFrame) -> DataFrame:
+    """(track_id, zone_id, code, score) of all pairs."""
+    return _classified(product(tracks, zones))
+
+
+def spatial_events(tracks: DataFrame, zones: DataFrame, cell: float = 128.0) -> DataFrame:
+    """The pairs with an event. Tracks and zones meet in grid cells their bounding boxes touch; a pair counts in the first cell both share."""
+
+    def spans(lo: Column, hi: Column) -> list[Column]:
+        return [F.floor(lo.cast("double") / cell), F.floor(hi.cast("double") / cell)]
+
+    def dealt(df: DataFrame, x: list[Column], y: list[Column], prefix: str) -> DataFrame:
+        df = df.select("*", *[c.alias(prefix + n) for n, c in zip(("x_lo", "x_hi", "y_lo", "y_hi"), (*x, *y))])
+        return df.select("*", F.explode(F.sequence(prefix + "x_lo", prefix + "x_hi")).alias("cx")).select("*", F.explode(F.sequence(prefix + "y_lo", prefix + "y_hi")).alias("cy"))
+
+    x, y = (spans(F.least(c + "0", c + "1"), F.greatest(c + "0", c + "1")) for c in "xy")
+    t = dealt(tracks, x, y, "t_")
+    z = prefixed(zones)
+    rim = C("r_radius").cast("double") + 1e-3 * (1 + C("r_radius"))  # float32 rounding near the rim stays inside
+    z = dealt(z, spans(C("r_x") - rim, C("r_x") + rim), spans(C("r_y") - rim, C("r_y") + rim), "z_")
+    first = (C("cx") == F.greatest("t_x_lo", "z_x_lo")) & (C("cy") == F.greatest("t_y_lo", "z_y_lo"))
+    return _classified(t.join(z, ["cx", "cy"]).where(first)).where("code > 0")
+
+
+def spatial_summary(events: DataFrame, pairs: int) -> DataFrame:
+    """Pairs and scores by code; pairs without an event by subtraction."""
+    found = events.groupBy("code").agg(F.count("*").alias("events"), F.sum(_milli(C("score"))).alias("score_milli"))
+    none = events.agg(F.lit(0).alias("code"), (F.lit(pairs) - F.count("*")).alias("events"), F.lit(0).cast("long").alias("score_milli"))
+    return none.unionByName(found)
+
+
+def best_events(events: DataFrame) -> DataFrame:
+    """The highest-scoring event of each track, the smallest zone_id on ties."""
+    best = F.max(F.struct("score", (-C("zone_id")).alias("z"), "code")).alias("b")
+    return events.groupBy("track_id").agg(best).select("track_id", (-C("b.z")).alias("zone_id"), "b.code", "b.score")
+
+
+def top_events(events: DataFrame, n: int) -> DataFrame:
+    return events.orderBy(F.desc("score"), "track_id", "zone_id").limit(n)
+
+
+def event_name(code: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, EVENTS)), code + 1)
+
+
+# Constraint network
+
+
+def pair_compatibility(tasks: DataFrame, resources: DataFrame) -> DataFrame:
+    """Six tests and their conjunction for all pairs."""
+    tests = {
+        "skill_ok": has_all(C("r_mask"), C("need")), "capacity_ok": C("r_capacity") >= C("demand"),
+        "time_overlap_ok": overlaps(C("earliest"), C("latest"), C("r_opens"), C("r_closes")), "distance_ok": _distance2() <= C("r_reach") * C("r_reach"),
+        "zone_ok": ~zone_forbidden(C("r_forbid"), C("zone")), "risk_ok": C("risk") <= C("r_tolerance"),
+    }
+    whole = reduce(lambda a, b: a & b, tests.values())
+    return product(tasks, resources).select("task_id", C("r_resource_id").alias("resource_id"), *[c.alias(n) for n, c in tests.items()], whole.alias("pair_ok"))
+
+
+def pass_fractions(pairs: DataFrame) -> DataFrame:
+    names = [c for c in pairs.columns if c.endswith("_ok") and c != "pair_ok"]
+    return pairs.agg(F.count_if("pair_ok").alias("pairs_ok"), *[F.avg(C(c).cast("int")).alias(c.removesuffix("_ok") + "_fraction") for c in names])
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    return rows.join(small(prefixed(table, prefix)), prefix + key)
+
+
+def evaluate_candidates(candidates: DataFrame, tasks: DataFrame, resources: DataFrame) -> DataFrame:
+    """(candidate_id, task_id, resource_id, start, duration, valid, violations, mask, penalty) of every candidate."""
+    both = _looked_up(candidates.withColumnRenamed("resource_id", "r_resource_id"), tasks, "task_id")
+    both = _looked_up(both, resources, "resource_id", "r_")
+    end, d2, reach2 = C("start") + C("duration"), _distance2(), C("r_reach") * C("r_reach")
+    zero = F.lit(0)
+
+    def outside(opens: Column, closes: Column) -> tuple[Column, Column]:
+        return (C("start") < opens) | (end > closes), real(F.greatest(zero, opens - C("start")) + F.greatest(zero, end - closes))
+
+    task, task_by = outside(C("earliest"), C("latest"))
+    own, own_by = outside(C("r_opens"), C("r_closes"))
+    terms = [
+        (~has_all(C("r_mask"), C("need")), f(1200)), (C("r_capacity") < C("demand"), f(150) * real(C("demand") - C("r_capacity"))), (task, f(3) * task_by), (own, f(2) * own_by),
+        (d2 > reach2, f(0.01) * (d2 - reach2)), (zone_forbidden(C("r_forbid"), C("zone")), f(450)), (C("risk") > C("r_tolerance"), f(700) * (C("risk") - C("r_tolerance"))),
+    ]
+    penalty = reduce(lambda a, t: a + F.when(t[0], t[1]).otherwise(f(0)), terms, f(0)) + (f(0.00025) * d2 + f(0.05) * real(C("duration")))
+    out = both.select("candidate_id", "task_id", C("r_resource_id").alias("resource_id"), "start", "duration", flags(*[c for c, _ in terms]).alias("mask"), penalty.alias("penalty"))
+    return out.select("candidate_id", "task_id", "resource_id", "start", "duration", (C("mask") == 0).alias("valid"), popcount(C("mask"), 7).alias("violations"), "mask", "penalty")
+
+
+def candidate_summary(evaluated: DataFrame) -> DataFrame:
+    return evaluated.agg(
+        F.count_if("valid").alias("valid_count"), F.count_if(~C("valid")).alias("invalid_count"), F.sum("violations").alias("total_violations"), *_reasons(CONSTRAINTS),
+        F.sum(_milli(C("penalty").cast("double") + 0.125 * C("mask"))).alias("checksum_milli"),
+    )
+
+
+# Assignment
+
+
+def _assignment(pairs: DataFrame) -> DataFrame:
+    start = C("earliest") + (f(17) * C("r_load")).cast("int")
+    end, d2 = start + C("duration"), _distance2()
+    mask = flags(
+        ~has_all(C("r_mask"), C("need")), C("r_capacity") < C("demand"), (start < C("r_opens")) | (end > C("r_closes")) | (end > C("latest")),
+        d2 > C("r_reach") * C("r_reach"), zone_forbidden(C("r_forbid"), C("zone")), C("risk") > C("r_tolerance"),
+    )
+    cost = f(0.035) * d2 + f(40) * C("r_load") + f(75) * C("risk") - f(18) * C("priority") + f(0.1) * real(C("duration"))
+    return pairs.select("task_id", C("r_resource_id").alias("resource_id"), mask.alias("mask"), cost.alias("c")).select(
+        "task_id", "resource_id", "mask", F.when(C("mask") == 0, C("c")).alias("cost")
+    )
+
+
+def assignment_pairs(tasks: DataFrame, resources: DataFrame) -> DataFrame:
+    """(task_id, resource_id, mask, cost) of all pairs; cost is null where the mask is not 0."""
+    return _assignment(product(tasks, resources))
+
+
+def feasible_assignments(tasks: DataFrame, resources: DataFrame) -> DataFrame:
+    """The feasible pairs alone: tasks meet the resources that have their lowest needed skill."""
+    low = C("need").bitwiseAND(-C("need"))
+    r = prefixed(resources)
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("s")).where(C("r_mask").bitwiseAND(bit(C("s"))) != 0)
+    t = tasks.withColumn("s", F.bit_count(low - 1).cast("int"))
+    return _assignment(t.where("need <> 0").join(small(r), "s").unionByName(t.where("need = 0").join(small(prefixed(resources))))).where("mask = 0")
+
+
+def top_assignments(feasible: DataFrame, k: int) -> DataFrame:
+    """(task_id, rank, resource_id, cost): the k cheapest of each task, the smallest resource_id on ties."""
+    w = Window.partitionBy("task_id").orderBy("cost", "resource_id")
+    return feasible.withColumn("rank", F.row_number().over(w)).where(C("rank") <= k).select("task_id", "rank", "resource_id", "cost")
+
+
+def padded(top: DataFrame, tasks: DataFrame, k: int) -> DataFrame:
+    """Exactly k rows for each task; missing ones have resource -1 and cost 1e30."""
+    slots = tasks.select("task_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    out = slots.join(top, ["task_id", "rank"], "left")
+    return out.select("task_id", "rank", F.coalesce("resource_id", F.lit(-1)).alias("resource_id"), F.coalesce("cost", f(1e30)).alias("cost"))
+
+
+def assignment_reasons(pairs: DataFrame) -> DataFrame:
+    return pairs.agg(F.count_if(C("mask") == 0).alias("feasible"), F.count_if(C("mask") != 0).alias("infeasible"), *_reasons(ASSIGNMENT))
+
+
+def assignment_summary(top: DataFrame, pairs: int) -> DataFrame:
+    """What the selected candidates come to; ``pairs`` is the number of all pairs."""
+    cost = C("cost").cast("double")
+    return top.agg(
+        F.count("*").alias("selected"), F.count_if(C("rank") == 1).alias("tasks_with_any"), F.sum(_milli(cost) * (C("task_id") + 1) * (C("rank") + 2)).alias("checksum_milli"),
+        F.sum(F.when(C("rank") == 1, _milli(cost))).alias("best_cost_milli"), (F.sum(_milli(cost)) / F.count("*")).alias("mean_cost_milli"), (F.count("*") / F.lit(pairs)).alias("reduction_ratio"),
+    )
+
+
+def resource_usage(top: DataFrame) -> DataFrame:
+    return top.where("resource_id >= 0").groupBy("resource_id").agg(F.count("*").alias("selected"))
+
+
+# Local search
+
+
+def evaluate_moves(moves: DataFrame, tasks: DataFrame, resources: DataFrame) -> DataFrame:
+    """(move_id, task_id, old_resource, new_resource, valid, improving, mask, old_cost, new_cost, delta) of every move."""
+    m = _looked_up(moves.withColumnRenamed("resource_id", "new_resource_id"), tasks, "task_id").withColumnRenamed("current", "old_resource_id")
+    for side in ("old_", "new_"):
+        m = _looked_up(m, resources, "resource_id", side)
+
+    def cost(side: str) -> Column:
+        d2 = squared_distance(C("x"), C("y"), C(side + "x"), C(side + "y"))
+        return f(0.03) * d2 + f(55) * C(side + "load") + f(90) * C("risk") - f(20) * C("priority") + f(3) * real(C("demand"))
+
+    d2 = squared_distance(C("x"), C("y"), C("new_x"), C("new_y"))
+    mask = flags(
+        ~has_all(C("new_mask"), C("need")), C("new_capacity") < C("demand"), d2 > C("new_reach") * C("new_reach"), C("risk") > C("new_tolerance"),
+        C("old_resource_id") == C("new_resource_id"),
+    )
+    m = m.select("move_id", "task_id", C("old_resource_id").alias("old_resource"), C("new_resource_id").alias("new_resource"), mask.alias("mask"), cost("old_").alias("old_cost"), cost("new_").alias("new_cost"))
+    m = m.withColumns({"delta": C("new_cost") - C("old_cost"), "valid": C("mask") == 0})
+    m = m.withColumn("improving", C("valid") & (C("delta") < f(-1e-5)))
+    return m.select("move_id", "task_id", "old_resource", "new_resource", "valid", "improving", "mask", "old_cost", "new_cost", "delta")
+
+
+def move_summary(evaluated: DataFrame) -> DataFrame:
+    best = F.min(F.when(C("improving"), F.struct("delta", "move_id")))
+    return evaluated.agg(
+        F.count_if("valid").alias("valid_moves"), F.count_if(~C("valid")).alias("invalid_moves"), F.count_if("improving").alias("improving_moves"), *_reasons(MOVES),
+        F.coalesce(best["move_id"], F.lit(-1)).alias("best_move"), F.coalesce(best["delta"].cast("double"), F.lit(0.0)).alias("best_delta"),
+        F.sum(_milli(C("delta")) * (C("move_id") % 1021 + 1)).alias("checksum_milli"), F.sum(F.when(C("valid"), _milli(C("delta")))).alias("valid_delta_milli"),
+    )
+
+
+# Scenarios
+
+
+def evaluate_scenarios(scenarios: DataFrame, plan: DataFrame) -> DataFrame:
+    """Scenarios with feasible, mask, counts and score over all tasks of the plan, folded in task order in float32.
+
+    The plan becomes one row that every scenario carries along, so nothing is shuffled; it must fit a worker, and is refused beyond BROADCAST_ROWS tasks.
+    """
+    if plan.count() > BROADCAST_ROWS:
+        raise ValueError("the plan is too large to go with every scenario")
+    whole = plan.agg(F.array_sort(F.collect_list(F.struct("task_id", *[c for c in plan.columns if c != "task_id"]))).alias("plan"))
+    start = F.struct((C("weather") * f(120)).alias("score"), F.lit(0).alias("mask"), *[F.lit(0).alias(n) for n in SCENARIOS])
+
+    def fold(a: Column, t: Column) -> Column:
+        failed = F.coalesce(C("failed") == t["resource_id"], F.lit(False))
+        chance = F.pmod(t["task_id"] + t["resource_id"] + F.coalesce(C("failed"), F.lit(-1)) + 97, F.lit(17)) == 0
+        failed = failed | ((t["r_reliability"] < f(0.35)) & chance)
+        demand = t["demand"] + F.when(C("spike") == t["task_id"], 3).otherwise(0)
+        travel = ratio(root(squared_distance(t["x"], t["y"], t["r_x"], t["r_y"]) + f(1)), t["r_speed"] + f(1e-3)) * C("delay")
+        risk = t["risk"] * C("risk")
+        tests = [failed, demand > t["r_capacity"], risk > t["r_tolerance"], travel > t["latest"]]
+        extra = [
+            f(2000) + f(100) * t["priority"], f(350) * real(demand - t["r_capacity"]), f(500) * (risk - t["r_tolerance"] + f(0.05)), f(40) * (travel - t["latest"]),
+        ]
+        own = (t["base"] + t["r_fixed"]) * C("cost") + f(0.45) * travel + f(140) * risk - f(25) * t["priority"]
+        own = reduce(lambda s, x: s + F.when(x[0], x[1]).otherwise(f(0)), zip(tests, extra), own)
+        counts = [(a[n] + x.cast("int")).alias(n) for n, x in zip(SCENARIOS, tests)]
+        return F.struct((a["score"] + own).alias("score"), a["mask"].bitwiseOR(flags(*tests)).alias("mask"), *counts)
+
+    both = scenarios.crossJoin(F.broadcast(whole))
+    out = both.select(*scenarios.columns, F.aggregate("plan", start, fold).alias("e"))
+    total = reduce(lambda a, b: a + b, [C(f"e.{n}") for n in SCENARIOS])
+    counts = [C(f"e.{n}").alias(f"{n}_count") for n in SCENARIOS]
+    return out.select(*scenarios.columns, (C("e.mask") == 0).alias("feasible"), C("e.mask").alias("mask"), total.alias("violations"), *counts, C("e.score").alias("score"))
+
+
+def scenario_summary(evaluated: DataFrame) -> DataFrame:
+    score, n, bad = C("score").cast("double"), F.count("*"), F.count_if(~C("feasible"))
+    mean, worst = F.sum(_milli(score)) / n / 1000.0, F.coalesce(F.max(score), F.lit(0.0))
+    return evaluated.agg(
+        F.count_if("feasible").alias("feasible_count"), bad.alias("infeasible_count"), *[c.alias(f"{k}_scenarios") for k, c in zip(SCENARIOS, _reasons(SCENARIOS))],
+        F.coalesce(F.sum("violations"), F.lit(0)).alias("total_violations"), F.coalesce(mean, F.lit(0.0)).alias("mean_score"), F.coalesce(F.min(score), F.lit(0.0)).alias("best_score"),
+        worst.alias("worst_score"), F.sum(_milli(score) * (C("scenario_id") % 4093 + 1)).alias("checksum_milli"),
+        F.coalesce(mean + 0.25 * worst + 10000.0 * (bad / n), F.lit(0.0)).alias("robustness"),
+    )
+
+
+# Combinations
+
+# Budget and risk for each member, categories needed, and the greatest squared distance.
+BUDGET, RISK, NEED, SPREAD2 = 55, 38, 7, 420 * 420
+
+
+def evaluate_combinations(items: DataFrame, k: int) -> DataFrame:
+    """(members, rank, mask, score) of all k-combinations of the items, ordered by item_id, for k from 1 to 4; streamed, never stored."""
+    if k not in (1, 2, 3, 4):
+        raise ValueError("combinations have 1 to 4 members")
+    n = items.count()
+    own = items.withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1) if n <= BROADCAST_ROWS else None
+    if own is None:
+        raise ValueError("too many items to combine")
+    names = "abcd"[:k]
+    sides = [prefixed(own, s + "_") for s in names]
+    out = sides[0]
+    for left, right, side in zip(names, names[1:], sides[1:]):
+        out = out.join(F.broadcast(side), C(left + "_place") < C(right + "_place"))
+
+    def total(c: str) -> Column:
+        return reduce(lambda a, b: a + b, [C(f"{s}_{c}") for s in names])
+
+    pairs = [(p, q) for i, p in enumerate(names) for q in names[i + 1 :]]
+    far = [squared_distance(C(f"{p}_x"), C(f"{p}_y"), C(f"{q}_x"), C(f"{q}_y")) for p, q in pairs] or [F.lit(0)]
+    spread = F.greatest(*far) if len(far) > 1 else far[0]
+    cover = reduce(lambda a, b: a.bitwiseOR(b), [C(f"{s}_cover") for s in names])
+    mask = flags(total("cost") > BUDGET * k, total("risk") > RISK * k, ~has_all(cover, F.lit(NEED)), spread > SPREAD2)
+    score = total("value") * 100 - total("cost") * 3 - total("risk") * 7 + popcount(cover, 8) * 25 + F.when(spread <= SPREAD2, 50).otherwise(0)
+    rank = combination_rank(n, [C(s + "_place") for s in names])
+    return out.select(F.array(*[C(s + "_item_id") for s in names]).alias("members"), rank.alias("rank"), mask.alias("mask"), score.alias("score"))
+
+
+def combination_summary(evaluated: DataFrame) -> DataFrame:
+    """Counts, reasons, checksum, and the best valid combination (the smallest rank on ties; -1 and 0 for none)."""
+    best = F.max(F.when(C("mask") == 0, F.struct("score", (-C("rank")).alias("r"))))
+    return evaluated.agg(
+        F.count_if(C("mask") == 0).alias("valid_count"), F.count_if(C("mask") != 0).alias("invalid_count"), *_reasons(COMBINATIONS), F.coalesce(best["score"], F.lit(0)).alias("best_score"),
+        F.coalesce(-best["r"], F.lit(-1)).alias("best_rank"), F.sum((C("rank") + 1) * 13 + C("mask").cast("long") * 1000003 + C("score").cast("long") * 97).alias("checksum"),
+    )
+
+
+def combinations_count(n: int, k: int) -> int:
+    return int(choose(n, k))
+
+
+# Histograms and scenes
+
+
+def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
+    """(bin, low, high, n) of equal bins between the least and the greatest value; empty bins count 0."""
+    x = C(column).cast("double")
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor((x - C("lo")) / F.nullif(C("hi") - C("lo"), F.lit(0.0)) * bins), F.lit(0)))
+    counts = df.where(x.isNotNull()).crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    width = (C("hi") - C("lo")) / bins
+    whole = ends.where("lo is not null").select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    whole = whole.select("bin", (C("lo") + width * C("bin")).alias("low"), (C("lo") + width * (C("bin") + 1)).alias("high"))
+    return whole.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def bounding_box(tracks: DataFrame, zones: DataFrame, pad: float = 0.05) -> DataFrame:
+    """The scene that holds all tracks and zones, with a margin of ``pad`` of its sides."""
+    z = zones.select((C("x") - C("radius")).alias("x"), (C("y") - C("radius")).alias("y")).union(zones.select((C("x") + C("radius")).alias("x"), (C("y") + C("radius")).alias("y")))
+    points = tracks.select(C("x0").alias("x"), C("y0").alias("y")).union(tracks.select(C("x1").alias("x"), C("y1").alias("y"))).union(z)
+    box = points.agg(*[g(C(c).cast("double")).alias(n) for c in "xy" for g, n in ((F.min, f"{c}_min"), (F.max, f"{c}_max"))])
+    margin = {c: (C(f"{c}_max") - C(f"{c}_min")) * pad for c in "xy"}
+    return box.select(*[(C(f"{c}_{e}") + margin[c] * s).alias(f"{c}_{e}") for c in "xy" for e, s in (("min", -1), ("max", 1))])
+
+
+def downsampled(df: DataFrame, row: str, column: str, limit: int) -> DataFrame:
+    """Every so many rows and columns of a long matrix that at most ``limit`` of each stay."""
+    ends = df.agg(F.max(row).alias("a"), F.max(column).alias("b")).first()
+    steps = [max(1, -(-((x or 0) + 1) // limit)) for x in ends]
+    return df.where((C(row) % steps[0] == 0) & (C(column) % steps[1] == 0))
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most n rows, by the order of a seeded hash of their key."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

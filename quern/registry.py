@@ -1,47 +1,199 @@
-"""Queries of the engine and the SQL that checks them."""
+"""Queries of the engine over a folder of tables, and the SQL that checks them.
+
+Entities follow from the keys of the tables, so that every workload grows with them: tasks, tracks from customers, resources and zones
+from suppliers, candidates, moves and scenarios from orders; scenario plans from nations and regions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import oracles as sql
+from quern.functions.scalars import horner
 from quern.operators import evaluators as ev
-from quern.operators import graph
-from quern.sources.generators import dialect
+from quern.sources import entities as en
+
+KEYS = sql.ALL
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query by its name, with its DuckDB SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = sql.duck(oracle)
+        return f
+
+    return add
+
+
+class Tables:
+    """The tables of a folder, and ids of their keys."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def ids(self, name: str) -> DataFrame:
+        return en.keyed(self[name], KEYS[name])
+
+    def size(self, name: str) -> int:
+        return self[name].count()
+
+
+def _cost(t: Tables):
+    return en.cost_tasks(t.ids("customer")), en.cost_resources(t.ids("supplier"))
+
+
+def _tracks(t: Tables):
+    return en.tracks(t.ids("customer")), en.zones(t.ids("supplier"))
+
+
+def _network(t: Tables):
+    return en.constraint_tasks(t.ids("customer")), en.constraint_resources(t.ids("supplier"))
+
+
+def _assignment(t: Tables):
+    return en.assignment_tasks(t.ids("customer")), en.assignment_resources(t.ids("supplier"))
+
+
+def _pairs(t: Tables) -> int:
+    return t.size("customer") * t.size("supplier")
+
+
+@query(sql.SMOKE)
+def smoke_checksum(spark, sf_dir):
+    micro = F.floor(F.col("y") * 1000000)
+    return en.smoke_values(Tables(spark, sf_dir).ids("orders")).agg(F.count("*").alias("n"), F.sum(micro).alias("checksum_micro"))
+
+
+@query(sql.polynomial())
+def polynomial_batch(spark, sf_dir):
+    return en.polynomial_domain(Tables(spark, sf_dir).ids("orders")).select("i", horner(F.col("x"), en.polynomial_coefficients()).alias("y"))
+
+
+@query(sql.COST_SUMMARY)
+def cost_matrix(spark, sf_dir):
+    return ev.cost_summary(ev.cost_pairs(*_cost(Tables(spark, sf_dir))))
+
+
+@query(sql.COST_FEASIBLE)
+def cost_feasible(spark, sf_dir):
+    return ev.cost_pairs(*_cost(Tables(spark, sf_dir)), feasible_only=True).select("task_id", "resource_id", "cost")
+
+
+@query(sql.SPATIAL_SUMMARY)
+def spatial_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ev.spatial_summary(ev.spatial_events(*_tracks(t)), _pairs(t))
+
+
+@query(sql.SPATIAL_EVENTS)
+def spatial_events(spark, sf_dir):
+    return ev.spatial_events(*_tracks(Tables(spark, sf_dir)))
+
+
+@query(sql.BEST_EVENTS)
+def spatial_best(spark, sf_dir):
+    return ev.best_events(spatial_events(spark, sf_dir))
+
+
+@query(sql.TOP_EVENTS)
+def spatial_top(spark, sf_dir):
+    return ev.top_events(spatial_events(spark, sf_dir), 40)
+
+
+@query(sql.BOX)
+def spatial_box(spark, sf_dir):
+    return ev.bounding_box(*_tracks(Tables(spark, sf_dir)))
+
+
+@query(sql.CN_ROWS)
+def constraint_candidates(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    tasks, resources = _network(t)
+    return ev.evaluate_candidates(en.constraint_candidates(t.ids("orders"), t.size("customer"), t.size("supplier")), tasks, resources)
+
+
+@query(sql.CN_SUMMARY)
+def constraint_network(spark, sf_dir):
+    return ev.candidate_summary(constraint_candidates(spark, sf_dir))
+
+
+@query(sql.COMPATIBILITY)
+def constraint_compatibility(spark, sf_dir):
+    return ev.pass_fractions(ev.pair_compatibility(*_network(Tables(spark, sf_dir))))
+
+
+@query(sql.AP_REASONS)
+def assignment_reasons(spark, sf_dir):
+    return ev.assignment_reasons(ev.assignment_pairs(*_assignment(Tables(spark, sf_dir))))
+
+
+@query(sql.AP_TOP)
+def assignment_topk(spark, sf_dir):
+    return ev.top_assignments(ev.feasible_assignments(*_assignment(Tables(spark, sf_dir))), 4)
+
+
+@query(sql.AP_SUMMARY)
+def assignment_summary(spark, sf_dir):
+    return ev.assignment_summary(assignment_topk(spark, sf_dir), _pairs(Tables(spark, sf_dir)))
+
+
+@query(sql.AP_PADDED)
+def assignment_padded(spark, sf_dir):
+    return ev.padded(assignment_topk(spark, sf_dir), _assignment(Tables(spark, sf_dir))[0], 4)
+
+
+@query(sql.AP_USAGE)
+def assignment_usage(spark, sf_dir):
+    return ev.resource_usage(assignment_topk(spark, sf_dir))
+
+
+@query(sql.LS_ROWS)
+def local_search_moves(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    n = t.size("supplier")
+    return ev.evaluate_moves(en.search_moves(t.ids("orders"), t.size("customer"), n), en.search_tasks(t.ids("customer"), n), en.search_resources(t.ids("supplier")))
+
+
+@query(sql.LS_SUMMARY)
+def local_search(spark, sf_dir):
+    return ev.move_summary(local_search_moves(spark, sf_dir))
 
-TEXTS = {
-    "smoke_checksum": ev.smoke(), "polynomial_batch": ev.polynomial(), "cost_matrix": ev.cost_summary(),
-    "spatial_events": ev.spatial_summary(), "assignment_reasons": ev.assignment_reasons(),
-    "assignment_topk": ev.assignment_topk(), "combination_finder": ev.combinations(),
-}
 
+@query(sql.SC_ROWS)
+def scenario_cases(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    plan = en.base_plan(en.scenario_tasks(t.ids("nation")), en.scenario_resources(t.ids("region")))
+    return ev.evaluate_scenarios(en.scenarios(t.ids("orders"), t.size("nation"), t.size("region")), plan)
 
-def sssp_layered(spark, sf_dir):
-    return graph.shortest_paths(graph.layered_edges(spark), 0)
 
+@query(sql.SC_SUMMARY)
+def scenario_simulation(spark, sf_dir):
+    return ev.scenario_summary(scenario_cases(spark, sf_dir))
 
-def bfs_part_supplier(spark, sf_dir):
-    return graph.bfs(graph.part_supplier_edges(spark, sf_dir), 0).select("node", F.col("depth").cast("long").alias("depth"))
 
+def _combined(spark, sf_dir, table, k):
+    return ev.combination_summary(ev.evaluate_combinations(en.items(Tables(spark, sf_dir).ids(table)), k))
 
-def components_part_supplier(spark, sf_dir):
-    return graph.components(graph.part_supplier_edges(spark, sf_dir))
 
+@query(sql.combinations("supplier", 2))
+def combinations_of_2(spark, sf_dir):
+    return _combined(spark, sf_dir, "supplier", 2)
 
-def degree_histogram(spark, sf_dir):
-    return graph.degrees(graph.part_supplier_edges(spark, sf_dir))
 
+@query(sql.combinations("supplier", 3))
+def combination_finder(spark, sf_dir):
+    return _combined(spark, sf_dir, "supplier", 3)
 
-QUERIES = {k: (lambda spark, sf_dir, t=t: spark.sql(dialect(t, True))) for k, t in TEXTS.items()}
-QUERIES |= {f.__name__: f for f in (sssp_layered, bfs_part_supplier, components_part_supplier, degree_histogram)}
 
-PAIRS = "p AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)"
-ORACLE_SQL = {k: dialect(t, False) for k, t in TEXTS.items()} | {
-    "degree_histogram": f"WITH {PAIRS} SELECT degree, count(*) AS nodes FROM (SELECT src, count(*) AS degree FROM e GROUP BY src) GROUP BY degree",
-    "bfs_part_supplier": f"WITH RECURSIVE {PAIRS}, r(node, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node",
-    "sssp_layered": """WITH RECURSIVE s AS (SELECT range AS src, range % 64 AS p, range // 64 AS layer FROM range(448)),
-      d AS (SELECT src, (layer + 1) * 64 + (p + layer + k.range) % 64 AS dst FROM s, range(4) k),
-      n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge FROM d),
-      e AS (SELECT src, dst, 1 + xor(xor((src*1315423911) & 4294967295, (dst*2654435761) & 4294967295), (edge*97) & 4294967295) % 31 AS w FROM n),
-      r(node, distance) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, r.distance + e.w FROM r JOIN e ON e.src = r.node)
-      SELECT node, min(distance) AS distance FROM r GROUP BY node""",
-}
+@query(sql.combinations("nation", 4))
+def combinations_of_4(spark, sf_dir):
+    return _combined(spark, sf_dir, "nation", 4)
