@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.plans.tables import PARTS, drop_all, drop_written, named_path, shared_dir, split_join, written
+
+__all__ = ["PARTS", "TYPES", "drop_all", "drop_written", "named_path", "shared_dir", "split_join", "struct", "table", "written"]
+
 TYPES = {
     "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
     "binary": T.BinaryType(), "boolean": T.BooleanType(), "array<int>": T.ArrayType(T.IntegerType()),
 }
 
 
-#: Tables of this session that were not dropped yet.
-_paths: list[str] = []
-
-
 def struct(fields: str) -> T.StructType:
     """The type of "name type, ..." without a running session, so that modules import early."""
     return T.StructType([T.StructField(n, TYPES[t]) for n, t in (f.split(" ") for f in fields.split(", "))])
@@ -29,69 +23,3 @@ def struct(fields: str) -> T.StructType:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; only Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where a local master leaves it unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "quern-shared")
-    return base.rstrip("/")
-
-
-def named_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; ``drop_all`` deletes what is written there."""
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    It cuts lineage and survives lost executors; unlike an eager checkpoint
-    the rows are computed only once.
-    """
-    spark = df.sparkSession
-    path = named_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _paths:
-        _paths.remove(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``written`` once nothing reads it any more."""
-    path = getattr(df, "_quern_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Delete all tables this session has left in the shared folder; for when all results have been read."""
-    for path in list(_paths):
-        _delete(spark, path)
-
-
-#: Keys with more than this part of all rows are broadcast by ``split_join``; there are fewer such keys than this.
-PARTS = 1000
-
-
-def split_join(big: DataFrame, small: DataFrame, on: str, n: str, total: int) -> DataFrame:
-    """Inner join on ``on`` of ``big`` and ``small``, which has one row a key and in ``n`` its rows in ``big``.
-
-    Keys with more than ``total`` / PARTS rows are fewer than PARTS, since their rows sum to
-    ``total`` at most: they are broadcast, so no hot key lands in one task. All others shuffle.
-    """
-    limit = max(1, total // PARTS)
-    hot, cold = F.broadcast(small.where(F.col(n) > limit)), small.where(F.col(n) <= limit)
-    return big.join(hot, on).unionByName(big.join(hot.select(on), on, "left_anti").join(cold, on))
