@@ -162,4 +162,65 @@ def combinations(table: str, k: int) -> str:
     coalesce((SELECT rank FROM m WHERE mask = 0 ORDER BY score DESC, rank LIMIT 1), -1) AS best_rank, {total('(rank + 1)*13 + mask*1000003 + score*97', 'checksum')} FROM m"""
 
 
-PAIRS = "p AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)"
+
+
+# Graphs
+
+
+def rows_of(table: str, name: str = "i") -> str:
+    """0 .. n - 1 for a table of n rows."""
+    return f"(SELECT unnest(range((SELECT count(*) FROM {table}))) AS {name})"
+
+
+def drawn(table: str, degree: int, seed: int) -> str:
+    """Edges of the random graph with a node for each row of a table: generator states in closed form, first distinct targets kept."""
+    from quern.functions.scalars import lcg_steps
+
+    steps = ", ".join(f"({k}, {a}, {c})" for k, (a, c) in enumerate(lcg_steps(4 * degree + 64)))
+    return f"""(SELECT i AS src, t AS dst FROM (SELECT i, t, row_number() OVER (PARTITION BY i ORDER BY min(k)) AS o
+  FROM (SELECT i, k, CAST(((a::HUGEINT * st + c) % 4294967296) % (SELECT count(*) FROM {table}) AS BIGINT) AS t
+    FROM (SELECT i, xor({seed}, (2654435769 * (i + 1)) & 4294967295) AS st FROM {rows_of(table)}), (VALUES {steps}) j(k, a, c)) WHERE t <> i GROUP BY i, t) WHERE o <= {degree})"""
+
+
+def weighted(edges: str) -> str:
+    return f"""(SELECT edge_index, src, dst, 1 + xor(xor((src*1315423911) & 4294967295, (dst*2654435761) & 4294967295), (edge_index*97) & 4294967295) % 31 AS weight
+  FROM (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge_index FROM {edges}))"""
+
+
+def reached(edges: str, depth: str = "depth") -> str:
+    """Depths from node 0 of all nodes reached."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {edges}), r(node, depth) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION
+  (SELECT DISTINCT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS old ON old.node = e.dst WHERE old.node IS NULL)) SELECT node, {depth} FROM r"""
+
+
+def nearest(edges: str) -> str:
+    """Least distances from node 0."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, weight FROM {edges}), r(node, distance) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION
+  (SELECT e.dst, min(r.distance + e.weight) FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS old ON old.node = e.dst GROUP BY e.dst HAVING min(r.distance + e.weight) < coalesce(min(old.distance), 1000000000000))) SELECT node, distance FROM r"""
+
+
+def labelled(edges: str) -> str:
+    """Each node's smallest reachable node."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {edges}), r(node, label) USING KEY (node) AS (SELECT src, src FROM e GROUP BY src UNION
+  (SELECT e.dst, min(r.label) FROM r JOIN e ON e.src = r.node JOIN recurring.r AS old ON old.node = e.dst GROUP BY e.dst HAVING min(r.label) < min(old.label))) SELECT node, label FROM r"""
+
+
+PART_SUPPLIER = "(WITH p AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem) SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)"
+LAYERED = f"(SELECT src, (l + 1) * w + (p + l + k) % w AS dst FROM (SELECT l * w + p AS src, l, p, w, k FROM range(7) a(l), {rows_of('supplier', 'p')}, range(4) b(k), (SELECT count(*) AS w FROM supplier)))"
+HISTOGRAM = f"WITH d AS (SELECT degree, count(*) AS nodes FROM (SELECT src, count(*) AS degree FROM {PART_SUPPLIER} GROUP BY src) GROUP BY degree) SELECT r.degree, coalesce(d.nodes, 0) AS nodes FROM (SELECT unnest(range((SELECT max(degree) + 1 FROM d))) AS degree) r LEFT JOIN d USING (degree)"
+GRID_DEPTHS = f"SELECT y * 25 + x AS node, x + y AS depth FROM range(25) a(x), {rows_of('supplier', 'y')}"
+MIXED = f"""(SELECT DISTINCT src, dst FROM (SELECT unnest([{{'a': v, 'b': x}}, {{'a': x, 'b': v}}]) AS e FROM (
+    SELECT v, v + 1 AS x FROM n WHERE c % 3 = 0 AND p + 1 < own UNION ALL SELECT v - p, v FROM n WHERE c % 3 = 1 AND p > 0 AND p < own
+    UNION ALL SELECT v, v - p + (p + 1) % own FROM n WHERE c % 3 = 2 AND p < own UNION ALL SELECT v, v + 2 FROM n WHERE c % 3 = 2 AND p + 2 < own) WHERE v <> x) q(e), (SELECT 1), LATERAL (SELECT e.a AS src, e.b AS dst))"""
+MIXED_NODES = f"n AS (SELECT v, v // s AS c, v % s AS p, greatest(1, s - (v // s) % 5) AS own FROM (SELECT c.r * s + p.i AS v, s FROM range(5) c(r), {rows_of('supplier')} p, (SELECT count(*) AS s FROM supplier)))"
+MIXED_EDGES = f"WITH {MIXED_NODES} SELECT src, dst FROM {MIXED}"
+MIXED_LABELS = f"WITH {MIXED_NODES} SELECT v AS node, CASE WHEN p < own THEN v - p ELSE v END AS label FROM n"
+DEGREE_STATS = f"SELECT count(*) AS node_count, CAST(sum(degree) AS BIGINT) AS edge_count, min(degree) AS min_out_degree, max(degree) AS max_out_degree, avg(degree) AS mean_out_degree, count(CASE WHEN degree = 0 THEN 1 END) AS zero_out_degree_count FROM (SELECT n.i, count(e.src) AS degree FROM (SELECT unnest(range(8 * (SELECT count(*) FROM supplier))) AS i) n LEFT JOIN {LAYERED} e ON e.src = n.i GROUP BY n.i)"
+
+
+def profile(edges: str, nodes: str) -> str:
+    return f"""WITH d AS ({reached(edges)}), o AS (SELECT d.node, d.depth, count(e.src) AS degree FROM d LEFT JOIN {edges} e ON e.src = d.node GROUP BY ALL),
+  l AS (SELECT depth, count(*) AS size, sum(degree) AS visits FROM o GROUP BY depth)
+  SELECT CAST(sum(size) AS BIGINT) AS reached_count, max(depth) AS max_distance, count(*) AS frontier_level_count, max(size) AS max_frontier_size, CAST(sum(visits) AS BIGINT) AS reached_edge_visits, CAST(max(visits) AS BIGINT) AS max_frontier_edge_visits,
+    avg(size) AS mean_frontier_size, avg(visits) AS mean_frontier_edge_visits, sum(visits)::DOUBLE / sum(size)::DOUBLE AS mean_reached_out_degree, CASE WHEN max(depth) > 0 THEN max(size)::DOUBLE / max(depth) ELSE 0 END AS frontier_width_to_depth,
+    (SELECT CAST(sum(coalesce(d.depth, -1) * (n.i + 1)) AS BIGINT) FROM {nodes} n LEFT JOIN d ON d.node = n.i) AS checksum FROM l"""

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quern import oracles as sql
 from quern.functions.scalars import horner
 from quern.operators import evaluators as ev
+from quern.operators import graph as go
 from quern.sources import entities as en
+from quern.sources import graphs as gr
 
 KEYS = sql.ALL
 QUERIES: dict = {}
@@ -197,3 +199,107 @@ def combination_finder(spark, sf_dir):
 @query(sql.combinations("nation", 4))
 def combinations_of_4(spark, sf_dir):
     return _combined(spark, sf_dir, "nation", 4)
+
+
+# Graphs
+
+SEED = 1337
+
+
+def _random(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n = t.size("customer")
+    return gr.random_sparse(t.spark, n, 4, SEED), t.spark.range(n).select(F.col("id").alias("node"))
+
+
+def _layered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n = t.size("supplier")
+    return gr.layered(t.spark, 8, n, 4), t.spark.range(8 * n).select(F.col("id").alias("node"))
+
+
+def _mixed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n = t.size("supplier")
+    return gr.mixed_components(t.spark, 5, n), t.spark.range(5 * n).select(F.col("id").alias("node"))
+
+
+@query("SELECT src, dst FROM " + sql.drawn("customer", 4, SEED))
+def random_edges(spark, sf_dir):
+    return _random(Tables(spark, sf_dir))[0]
+
+
+@query("SELECT edge_index, src, dst, weight FROM " + sql.weighted(sql.LAYERED))
+def layered_edges(spark, sf_dir):
+    return gr.weighted(_layered(Tables(spark, sf_dir))[0])
+
+
+@query(sql.MIXED_EDGES)
+def mixed_edges(spark, sf_dir):
+    return _mixed(Tables(spark, sf_dir))[0]
+
+
+@query(sql.DEGREE_STATS)
+def degree_stats(spark, sf_dir):
+    return go.degree_stats(*_layered(Tables(spark, sf_dir)))
+
+
+@query(sql.HISTOGRAM)
+def degree_histogram(spark, sf_dir):
+    edges = gr.part_supplier(spark, sf_dir)
+    return go.degree_histogram(edges, edges.select(F.col("src").alias("node")).distinct())
+
+
+@query(sql.GRID_DEPTHS)
+def bfs_grid(spark, sf_dir):
+    return go.bfs(gr.grid(spark, 25, Tables(spark, sf_dir).size("supplier")), 0)
+
+
+@query(sql.reached(sql.PART_SUPPLIER))
+def bfs_part_supplier(spark, sf_dir):
+    return go.bfs(gr.part_supplier(spark, sf_dir), 0)
+
+
+@query(sql.reached(sql.drawn("customer", 4, SEED)))
+def bfs_random(spark, sf_dir):
+    return go.bfs(_random(Tables(spark, sf_dir))[0], 0)
+
+
+@query(sql.profile(sql.LAYERED, "(SELECT unnest(range(8 * (SELECT count(*) FROM supplier))) AS i)"))
+def bfs_profile(spark, sf_dir):
+    edges, nodes = _layered(Tables(spark, sf_dir))
+    return go.bfs_profile(go.bfs(edges, 0, nodes), edges)
+
+
+@query(sql.labelled(sql.PART_SUPPLIER))
+def components_part_supplier(spark, sf_dir):
+    return go.components(gr.part_supplier(spark, sf_dir))
+
+
+@query(sql.MIXED_LABELS)
+def components_mixed(spark, sf_dir):
+    return go.components(*_mixed(Tables(spark, sf_dir)))
+
+
+@query(f"SELECT count(*) AS component_count, max(size) AS largest_component, count(CASE WHEN size = 1 THEN 1 END) AS isolated_node_count, CAST(sum(s) AS BIGINT) AS checksum FROM (SELECT label, count(*) AS size, sum((node + 1) * (label + 1)) AS s FROM ({sql.MIXED_LABELS}) GROUP BY label)")
+def component_stats(spark, sf_dir):
+    return go.component_stats(go.propagated_components(*_mixed(Tables(spark, sf_dir)))[0])
+
+
+@query(sql.nearest(sql.weighted(sql.LAYERED)))
+def sssp_layered(spark, sf_dir):
+    return go.shortest_paths(layered_edges(spark, sf_dir), 0)[0]
+
+
+def _paths(method: str):
+    def run(spark, sf_dir):
+        return go.shortest_paths(gr.weighted(_random(Tables(spark, sf_dir))[0]), 0, method)[0]
+
+    run.__name__ = f"sssp_random_{method}"
+    return run
+
+
+for _method in ("frontier", "global", "delta"):
+    query(sql.nearest(sql.weighted(sql.drawn("customer", 4, SEED))))(_paths(_method))
+
+
+@query(sql.nearest(sql.weighted(sql.drawn("customer", 4, SEED))))
+def sssp_random_local(spark, sf_dir):
+    return go.local_paths(gr.weighted(_random(Tables(spark, sf_dir))[0]), 0)
