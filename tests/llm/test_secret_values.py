@@ -1,6 +1,5 @@
 """Values that are priced whatever their letters, and values that a base span cuts."""
 
-import pandas as pd
 import pytest
 
 from quern.llm import secrets
@@ -10,7 +9,7 @@ from quern.llm import secrets
 def test_values_without_digits_are_priced(text):
     value = text.split()[1]
     assert [text[s:e] for s, _, e in secrets.guess_spans(text, secrets.base_spans(text))] == [value]
-    assert secrets._redact.func(pd.Series([text]))[0] == text.split()[0] + " [SECRET]"
+    assert secrets.redacted(text) == text.split()[0] + " [SECRET]"
 
 
 def test_value_beyond_its_base_span_goes_whole():
@@ -18,7 +17,7 @@ def test_value_beyond_its_base_span_goes_whole():
     base = secrets.base_spans(text)
     assert [text[s:e] for s, _, e in base] == ["password: Abcdefghijkl"]
     assert [text[s:e] for s, _, e in secrets.guess_spans(text, base)] == ["Abcdefghijkl$9xQ!z"]
-    assert secrets._redact.func(pd.Series([text]))[0] == "x [SECRET] y"
+    assert secrets.redacted(text) == "x [SECRET] y"
 
 
 def test_cheap_values_and_whole_base_spans_stay():
