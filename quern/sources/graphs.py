@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.scalars import ALIASES, U32, edge_weight, lcg_steps, multiply_u32
+from quern.functions.scalars import U32, edge_weight, lcg_steps, multiply_u32
 from quern.sources.entities import edge_index
 
 GOLDEN, MIX = 0x9E3779B9, 0x85EBCA6B
+# Other names of the kinds.
+NAMES = {"random_sparse": "random", "chain_components": "chains", "grids": "grid_components", "random_clusters": "clusters", "mixed_components": "mixed"}
 
 
 def _check(ok: bool, message: str) -> None:
@@ -146,7 +148,6 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 def make(spark: SparkSession, kind: str, **p) -> tuple[DataFrame, int]:
     """Edges and number of nodes of a graph by its kind's name or alias."""
-    kind = {"random_sparse": "random"}.get(kind, kind)
     makers = {
         "chain": lambda: (chain(spark, p["nodes"]), p["nodes"]),
         "grid": lambda: (grid(spark, p["width"], p["height"]), p["width"] * p["height"]),
@@ -157,7 +158,7 @@ def make(spark: SparkSession, kind: str, **p) -> tuple[DataFrame, int]:
         "clusters": lambda: (random_clusters(spark, p["components"], p["size"], p["degree"], p["seed"]), p["components"] * p["size"]),
         "mixed": lambda: (mixed_components(spark, p["components"], p["size"]), p["components"] * p["size"]),
     }
-    kind = {"random_clusters": "clusters", "mixed_components": "mixed", **{k: v for k, v in ALIASES.items() if v in makers and k not in makers}}.get(kind, kind)
+    kind = NAMES.get(kind, kind)
     if kind not in makers:
         raise ValueError(f"unknown graph kind: {kind}")
     return makers[kind]()

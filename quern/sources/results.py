@@ -159,6 +159,6 @@ def export_graph(path: str, edges: DataFrame, nodes: DataFrame, labels: DataFram
 def markdown(rows: DataFrame) -> str:
     """The rows of a report as a Markdown table; for the few rows of a sweep."""
     found = rows.collect()
-    text = lambda x: "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+    text = lambda x: "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x).replace("\n", " ").replace("|", "\\|")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in found])
