@@ -89,7 +89,7 @@ def choose(n: Column | int, k: int) -> Column | int:
         return math.comb(n, k) if n >= 0 else 0
     out = F.lit(1).cast("long")
     for j in range(k):  # the product of j + 1 neighbours is divisible by (j + 1)!
-        out = F.expr("0") + out * (n.cast("long") - j)
+        out = out * (n.cast("long") - j)
     return F.when(n < k, F.lit(0).cast("long")).otherwise(_div(out, math.factorial(k)))
 
 
