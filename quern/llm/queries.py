@@ -5,6 +5,7 @@ from quern.llm.hnsw import op9_hnsw
 from quern.llm.html_text import op4_html_text
 from quern.llm.media import op10_iso_media
 from quern.llm.mixing import OP6_SQL, op6_poisson_mix
+from quern.llm.pivot_index import OP12_SQL, op12_pivot_topk
 from quern.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from quern.llm.secrets import op1_secret_scan
 from quern.llm.sharding import OP3_SQL, op3_extendible_shards
@@ -16,7 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_simhash_dedup, op3_extendible_shards, op4_html_text, op5_toxicity,
-        op6_poisson_mix, op7_warc, op8_bpe, op9_hnsw, op10_iso_media, op11_prefix_trie,
+        op6_poisson_mix, op7_warc, op8_bpe, op9_hnsw, op10_iso_media, op11_prefix_trie, op12_pivot_topk,
     )
 }
-ORACLE_SQL = {"op3_extendible_shards": OP3_SQL, "op6_poisson_mix": OP6_SQL, "op7_warc": OP7_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL = {"op3_extendible_shards": OP3_SQL, "op6_poisson_mix": OP6_SQL, "op7_warc": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_pivot_topk": OP12_SQL}
