@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import (
     bit, choose, clamp01, combination_rank, f, flags, has_all, has_any, overlaps, popcount, ratio, real, root, squared_distance, zone_forbidden,
 )
+from quern.operators import plain
 from quern.sources.entities import BROADCAST_ROWS
 
 C = F.col
@@ -299,7 +300,12 @@ def move_summary(evaluated: DataFrame) -> DataFrame:
 
 
 def evaluate_scenarios(scenarios: DataFrame, plan: DataFrame) -> DataFrame:
-    """Scenarios with feasible, mask, counts and score over all tasks of the plan, folded in task order in float32.
+    """Scenarios with feasible, mask, counts and score over all tasks of the plan, summed in task order in float32; a plan of any size, see ``plain.scenarios``."""
+    return plain.scenarios(scenarios, plan)
+
+
+def folded_scenarios(scenarios: DataFrame, plan: DataFrame) -> DataFrame:
+    """As ``evaluate_scenarios`` by one expression, for small plans and checks.
 
     The plan becomes one row that every scenario carries along, so nothing is shuffled; it must fit a worker, and is refused beyond BROADCAST_ROWS tasks.
     """
@@ -348,17 +354,37 @@ def scenario_summary(evaluated: DataFrame) -> DataFrame:
 BUDGET, RISK, NEED, SPREAD2 = 55, 38, 7, 420 * 420
 
 
-def evaluate_combinations(items: DataFrame, k: int) -> DataFrame:
-    """(members, rank, mask, score) of all k-combinations of the items, ordered by item_id, for k from 1 to 4; streamed, never stored."""
+def _members(k: int) -> int:
     if k not in (1, 2, 3, 4):
         raise ValueError("combinations have 1 to 4 members")
+    return k
+
+
+def evaluate_combinations(items: DataFrame, k: int) -> DataFrame:
+    """(members, rank, mask, score) of all k-combinations of the items, ordered by item_id, for k from 1 to 4; by ranges of ranks, streamed, never stored."""
+    return plain.combinations(items, _members(k), (BUDGET, RISK, NEED, SPREAD2), summed=False)
+
+
+def combination_totals(items: DataFrame, k: int) -> DataFrame:
+    """What ``combination_summary`` gives of all k-combinations; every range of ranks is summed where it is made."""
+    t = plain.combinations(items, _members(k), (BUDGET, RISK, NEED, SPREAD2), summed=True)
+    best = F.max(F.when(C("best").isNotNull(), F.struct("best", (-C("best_rank")).alias("r"))))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return t.agg(
+        zero("valid").alias("valid_count"), zero("invalid").alias("invalid_count"), *[zero(f"r{i}").alias(n) for i, n in enumerate(COMBINATIONS)], F.coalesce(best["best"].cast("int"), F.lit(0)).alias("best_score"),
+        F.coalesce(-best["r"], F.lit(-1)).alias("best_rank"), F.sum("check").alias("checksum"),
+    )
+
+
+def joined_combinations(items: DataFrame, k: int) -> DataFrame:
+    """As ``evaluate_combinations`` by joins of the items with themselves, for few items and checks."""
     n = items.count()
     own = items.withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1) if n <= BROADCAST_ROWS else None
     if own is None:
         raise ValueError("too many items to combine")
     names = "abcd"[:k]
     sides = [prefixed(own, s + "_") for s in names]
-    out = sides[0]
+    out = sides[0].repartition(items.sparkSession.sparkContext.defaultParallelism, "a_place")
     for left, right, side in zip(names, names[1:], sides[1:]):
         out = out.join(F.broadcast(side), C(left + "_place") < C(right + "_place"))
 

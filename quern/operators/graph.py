@@ -1,8 +1,8 @@
 """Graph operators over edges (src, dst[, weight]): traversal, components, shortest paths, statistics, compressed rows.
 
-Iterations are rounds of joins. What a round changes is appended to a table in the shared folder, which cuts lineage and survives lost
-executors, and the next round reads the table as one scan; the driver only learns counts. Every loop has a guard on its rounds.
-Edges are stored once, dealt by source.
+Traversal and paths settle blocks of compressed rows (``blocks``), whatever the depth. The other iterations are rounds of joins: what a round changes is appended to a table in the shared folder, which cuts lineage and survives lost
+executors, and the next round reads the table as one scan; the driver only learns counts. Rounds have no limit but the one that a caller sets; each makes
+progress. Edges are stored once, dealt by source.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import six
+from quern.operators import blocks
 from quern.operators.components import connected_components
 from quern.plans.tables import appended, named_path, written
 from quern.sources.entities import offsets
 
 C = F.col
-#: Rounds beyond which a loop gives up, where the caller names none.
-MAX_ROUNDS = 2048
 UNREACHED, INFINITE = -1, 1_000_000_000
 
 
@@ -116,28 +115,42 @@ def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def degree_histogram(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(degree, nodes) for every degree from 0 to the largest; degrees that no node has count 0."""
     own = written(degrees(edges, nodes).groupBy("degree").agg(F.count("*").alias("nodes")), "degrees")
-    whole = own.agg(F.max("degree").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), C("m"))).alias("degree"))
+    most = own.agg(F.max("degree")).first()[0]
+    whole = edges.sparkSession.range(0 if most is None else most + 1).select(C("id").alias("degree"))
     return whole.join(own, "degree", "left").fillna(0, ["nodes"])
 
 
 # Traversal
 
 
-def bfs(edges: DataFrame, source: int, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, depth) of all nodes reached, and of all ``nodes`` if given, those not reached with depth -1."""
+def bfs(edges: DataFrame, source: int, nodes: DataFrame | None = None, run: Run | None = None) -> DataFrame:
+    """(node, depth) of all nodes reached, and of all ``nodes`` if given, those not reached with depth -1; by blocks, so a round for each block border on a path."""
+    seen = blocks.distances(blocks.store(edges.select("src", "dst")), source, run).withColumnRenamed("distance", "depth")
+    return seen if nodes is None else nodes.select("node").join(seen, "node", "left").fillna(UNREACHED, ["depth"])
+
+
+def bfs_rounds(edges: DataFrame, source: int, nodes: DataFrame | None = None, max_rounds: int | None = None, run: Run | None = None) -> DataFrame:
+    """As ``bfs``, level by level: a join for each level, for wide and shallow graphs."""
     spark = edges.sparkSession
     edges = written(edges.select("src", "dst").repartition("src"), "edges")
     front = _start(spark, source, "depth")
     path = named_path(spark, "seen")
     seen = appended(front, path)
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
+        if max_rounds and depth > max_rounds:
+            raise RuntimeError(f"the traversal did not end in {max_rounds} rounds")
         to = front.join(edges, front["node"] == edges["src"]).select(C("dst").alias("node")).distinct()
         front = written(to.join(seen, "node", "left_anti").select("node", F.lit(depth).cast("long").alias("depth")), "front")
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
+        if run:
+            run.iterations, run.active_visits, run.max_frontier = depth, run.active_visits + size, max(run.max_frontier, size)
         seen = appended(front, path)
-    else:
-        raise RuntimeError(f"the traversal did not end in {max_rounds} rounds")
+    if run:
+        run.converged = True
     return seen if nodes is None else nodes.select("node").join(seen, "node", "left").fillna(UNREACHED, ["depth"])
 
 
@@ -171,11 +184,14 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def propagated_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, Run]:
-    """(node, label) by the minimum over neighbours and one jump along labels a round; a round for each step of the diameter at most."""
+def propagated_components(edges: DataFrame, nodes: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, Run]:
+    """(node, label) by the minimum over neighbours and one jump along labels a round; a round for each step of the diameter at most.
+
+    With ``max_rounds`` labels may be unfinished, and then ``Run.converged`` is false.
+    """
     edges = written(edges.select("src", "dst").union(edges.select(C("dst").alias("src"), C("src").alias("dst"))).distinct(), "edges")
     labels, run, m = written(nodes.select("node", C("node").alias("label")), "labels"), Run(), edges.count()
-    while run.iterations < max_rounds and not run.converged:
+    while not run.converged and (max_rounds is None or run.iterations < max_rounds):
         near = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
         low = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("label", "near").alias("low"), C("label").alias("old"))
         up = labels.select(C("node").alias("low"), C("label").alias("jump"))
@@ -202,18 +218,20 @@ def component_stats(labels: DataFrame) -> DataFrame:
 # Shortest paths
 
 
-def shortest_paths(edges: DataFrame, source: int, method: str = "frontier", delta: int = 16, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, Run]:
+def shortest_paths(edges: DataFrame, source: int, method: str = "frontier", delta: int = 16, max_rounds: int | None = None) -> tuple[DataFrame, Run]:
     """(node, distance) of all nodes reached from ``source`` over non-negative whole weights, and how the run went.
 
     Methods, all exact: ``global`` relaxes every edge of a reached node a round; ``frontier`` those of nodes whose distance fell; ``delta``
     those among them in the lowest bucket of ``delta`` distances; ``light_heavy`` closes a bucket over edges of at most ``delta`` first and
-    then relaxes the others of all nodes settled in it once. Falls are appended to one log, whose minimum is a node's distance.
+    then relaxes the others of all nodes settled in it once; ``blocks`` settles blocks of compressed rows with priority queues. Falls are appended to one log, whose minimum is a node's distance.
     """
-    if method not in ("global", "frontier", "delta", "light_heavy"):
+    if method not in ("global", "frontier", "delta", "light_heavy", "blocks"):
         raise ValueError(f"unknown method: {method}")
     if delta <= 0:
         raise ValueError("delta must be positive")
     spark, run = edges.sparkSession, Run()
+    if method == "blocks":
+        return blocks.distances(blocks.store(edges), source, run, max_rounds), run
     edges = written(edges.select("src", "dst", C("weight").cast("long").alias("weight")).repartition("src"), "edges")
     light, heavy = edges.where(C("weight") <= delta), edges.where(C("weight") > delta)
     path = named_path(spark, "paths")
@@ -227,7 +245,7 @@ def shortest_paths(edges: DataFrame, source: int, method: str = "frontier", delt
         nonlocal log
         size = active.count()
         run.iterations, run.active_visits, run.max_frontier = run.iterations + 1, run.active_visits + size, max(run.max_frontier, size)
-        if run.iterations > max_rounds:
+        if max_rounds and run.iterations > max_rounds:
             raise RuntimeError(f"the paths did not converge in {max_rounds} rounds")
         to = active.join(over, active["node"] == over["src"]).groupBy(C("dst").alias("node")).agg(F.min(C("distance") + C("weight")).alias("new"), F.count("*").alias("edges"))
         to = written(to.join(distances(), "node", "left").where("distance is null or new < distance").select("node", C("new").alias("distance"), "edges"), "falls")
@@ -292,58 +310,20 @@ def guard(kind: str, nodes: int, max_iterations: int = 0, **p) -> int:
     return max(low, min(2048, nodes))
 
 
-# Local kernels
-
-#: Graphs of at most so many edges may be walked by one task (some 200 bytes an edge).
-LOCAL_EDGES = 4_000_000
+def local_paths(edges: DataFrame, source: int) -> DataFrame:
+    """(node, distance) by priority queues within blocks; a small graph is one block, and so one queue."""
+    return blocks.distances(blocks.store(edges), source)
 
 
-def local_paths(edges: DataFrame, source: int) -> DataFrame:
-    """(node, distance) by a priority queue in one task, for deep graphs that are small: refused beyond LOCAL_EDGES."""
-    if edges.count() > LOCAL_EDGES:
-        raise ValueError("the graph is too large for one task")
-
-    def walk(frames):
-        import heapq
-
-        import numpy as np
-        import pandas as pd
-
-        parts = [np.stack([b["src"], b["dst"], b["weight"]], 1) for b in frames if len(b)]
-        e = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
-        e = e[np.argsort(e[:, 0], kind="stable")]
-        keys, first = np.unique(e[:, 0], return_index=True)
-        spans = dict(zip(keys.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(e)])))
-        to, weight = e[:, 1].tolist(), e[:, 2].tolist()
-        best, heap = {source: 0}, [(0, source)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if d > best[v]:
-                continue
-            a, b = spans.get(v, (0, 0))
-            for k in range(a, b):
-                n = d + weight[k]
-                if n < best.get(to[k], n + 1):
-                    best[to[k]] = n
-                    heapq.heappush(heap, (n, to[k]))
-        yield pd.DataFrame({"node": list(best), "distance": list(best.values())})
-
-    one = edges.select("src", "dst", C("weight").cast("long").alias("weight")).repartition(1)
-    return one.mapInPandas(walk, "node long, distance long")
-
-
-def choose_backend(edges: int, depth: int) -> str:
-    """Rounds of joins for shallow graphs, one task for deep ones that fit it; deep and large graphs are refused."""
-    if depth <= 100:
-        return "rounds"
-    if edges <= LOCAL_EDGES:
-        return "local"
-    raise ValueError("the graph is too deep for rounds and too large for one task")
+def choose_backend(depth: int) -> str:
+    """Rounds of joins for shallow graphs, blocks for deep ones."""
+    return "rounds" if depth <= 100 else "blocks"
 
 
 def described(run: Run) -> dict[str, str]:
-    """A run as metadata texts."""
-    return {k: str(v).lower() for k, v in vars(run).items()} | {"frontier_overflow": "false"}
+    """A run as metadata texts, by the names that analyses read."""
+    names = {"active_visits": "active_frontier_node_visits", "max_frontier": "max_frontier_size"}
+    return {names.get(k, k): str(v).lower() for k, v in vars(run).items()} | {"frontier_overflow": "false"}
 
 
 def summary_text(stats: DataFrame) -> DataFrame:

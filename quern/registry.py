@@ -183,7 +183,7 @@ def scenario_simulation(spark, sf_dir):
 
 
 def _combined(spark, sf_dir, table, k):
-    return ev.combination_summary(ev.evaluate_combinations(en.items(Tables(spark, sf_dir).ids(table)), k))
+    return ev.combination_totals(en.items(Tables(spark, sf_dir).ids(table)), k)
 
 
 @query(sql.combinations("supplier", 2))
@@ -259,7 +259,7 @@ def bfs_part_supplier(spark, sf_dir):
 
 @query(sql.reached(sql.drawn("customer", 4, SEED)))
 def bfs_random(spark, sf_dir):
-    return go.bfs(_random(Tables(spark, sf_dir))[0], 0)
+    return go.bfs_rounds(_random(Tables(spark, sf_dir))[0], 0)
 
 
 @query(sql.profile(sql.LAYERED, "(SELECT unnest(range(8 * (SELECT count(*) FROM supplier))) AS i)"))

@@ -86,7 +86,7 @@ def test_traversal(spark):
     p = go.bfs_profile(d, e).first()
     assert (p["reached_count"], p["reached_edge_visits"], p["checksum"]) == (2, 1, 2 - 3 - 4)
     with pytest.raises(RuntimeError):
-        go.bfs(gr.chain(spark, 9), 0, max_rounds=3)
+        go.bfs_rounds(gr.chain(spark, 9), 0, max_rounds=3)
 
 
 def test_components(spark):
@@ -125,9 +125,7 @@ def test_weights_and_known_paths(spark):
 def test_guards_and_backends():
     assert go.guard("chain", 9) == 9 and go.guard("random", 10**6) == 2048 and go.guard("random", 5) == 32 and go.guard("mixed", 5) == 64
     assert go.guard("grid", 9, width=3, height=3) == 14 and go.guard("layered", 9, layers=3) == 7 and go.guard("chains", 9, size=3) == 11 and go.guard("chain", 9, 4) == 4
-    assert go.choose_backend(10, 5) == "rounds" and go.choose_backend(10, 5000) == "local"
-    with pytest.raises(ValueError):
-        go.choose_backend(10**9, 5000)
+    assert go.choose_backend(5) == "rounds" and go.choose_backend(5000) == "blocks"
 
 
 def test_layouts(spark):
