@@ -28,7 +28,7 @@ from quern.llm.common import table, written
 
 C = F.col
 #: Bytes of text that a block holds at most, but for its last text; bytes of text for one partition of the dictionary.
-BLOCK, PART = 16 << 20, 64 << 20
+BLOCK, PART = 8 << 20, 64 << 20
 BUCKETS, SEED, SHARE, LEAST_WORDS = 10_000, 7, 25, 20
 
 # Bytes of words as they count: digits, letters in lower case, and all bytes of other characters; 0 parts words.
@@ -64,6 +64,16 @@ def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return _binaries(kept, np.diff(np.concatenate((starts, [len(kept)])))), owner
 
 
+def _shrunk(x: np.ndarray, press) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, compressed; the first byte tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+    return bytes([width]) + press(x.astype(f"<u{width}").tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), f"<u{packed[0]}")
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -109,11 +119,12 @@ def _packed(texts: list[bytes], target: bool, parts: int):
     a = np.where(pair, (feature - v) // v, feature)
     b = np.where(pair, (feature - v) % v, 0)
     to = (_spread(hashed[a] + np.where(pair, _spread(hashed[b]), np.uint64(0))) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    first = np.cumsum(posts) - posts
+    # Within a part features of one document come first, in the order of the documents: their places then take next to no room.
+    order = np.argsort((to * 2 + (posts > 1)) * d + docs[first], kind="stable")
     cut = np.searchsorted(to[order], np.arange(parts + 1))
-    first = np.concatenate(([0], np.cumsum(posts)))[:-1]
     out = []
-    press = zstandard.ZstdCompressor(level=3).compress
+    press = zstandard.ZstdCompressor(level=6).compress
     for p in np.flatnonzero(np.diff(cut)):
         mine = order[cut[p] : cut[p + 1]]
         m = posts[mine]
@@ -121,7 +132,7 @@ def _packed(texts: list[bytes], target: bool, parts: int):
         one, two = own.take(pa.array(a[mine])), pa.array(b[mine])
         text = pc.if_else(pa.array(pair[mine]), pc.binary_join_element_wise(one, own.take(two), pa.scalar(b" ", pa.large_binary())), one)
         data, lengths = _flat(text)
-        out.append((int(p), *(press(x.tobytes()) for x in (lengths.astype(np.uint32), data, m.astype(np.uint32), docs[where].astype(np.uint32), counts[where].astype(np.uint32)))))
+        out.append((int(p), *(_shrunk(x, press) for x in (lengths, data, m, docs[where], counts[where]))))
     return out, each
 
 
@@ -161,8 +172,6 @@ _HASHED = pa.schema([
 ])
 
 
-def _numbers(packed: bytes, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
 def _dictionary(buckets: int):
@@ -178,10 +187,12 @@ def _dictionary(buckets: int):
                     packs.append(r)
         if not packs:
             return
-        strings = pa.concat_arrays([_binaries(_numbers(r["data"], np.uint8), _numbers(r["lengths"])) for r in packs])
+        strings = pa.concat_arrays([_binaries(_numbers(r.pop("data")), _numbers(r.pop("lengths"))) for r in packs])
         coded = pc.dictionary_encode(strings)
-        hashed = np.fromiter((zlib.crc32(f) % buckets for f in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        distinct = coded.dictionary
+        hashed = np.fromiter((zlib.crc32(f) % buckets for a in range(0, len(distinct), 1 << 16) for f in distinct.slice(a, 1 << 16).to_pylist()), np.int32, len(distinct))
         own = hashed[coded.indices.to_numpy(zero_copy_only=False)]
+        del strings, coded, distinct
         at, whole = 0, {True: np.zeros(buckets, np.int64), False: np.zeros(buckets, np.int64)}
         for r in packs:
             posts = _numbers(r["posts"])
@@ -189,7 +200,7 @@ def _dictionary(buckets: int):
             at += len(posts)
             np.add.at(whole[r["target"]], np.repeat(mine, posts), _numbers(r["counts"]).astype(np.int64))
             if not r["target"]:
-                packed = zstandard.ZstdCompressor(level=3).compress(mine.astype(np.uint32).tobytes())
+                packed = _shrunk(mine, zstandard.ZstdCompressor(level=3).compress)
                 yield pa.RecordBatch.from_pylist([{"no": r["no"], "posts": r["posts"], "docs": r["docs"], "counts": r["counts"], "buckets": packed}], schema=_HASHED)
         yield pa.RecordBatch.from_pylist([{"s": whole[False], "t": whole[True]}], schema=_HASHED)
 
@@ -204,10 +215,11 @@ def _gained(gains: np.ndarray):
             sums: dict[int, np.ndarray] = {}
             for r in b.to_pylist():
                 docs = _numbers(r["docs"])
+                most = int(docs.max())
                 gain = np.repeat(gains[_numbers(r["buckets"])], _numbers(r["posts"])) * _numbers(r["counts"]).astype(np.int64)
                 own = sums.get(r["no"], np.zeros(0, np.int64))
-                if len(own) <= docs.max():
-                    own = np.concatenate((own, np.zeros(docs.max() + 1 - len(own), np.int64)))
+                if len(own) <= most:
+                    own = np.concatenate((own, np.zeros(most + 1 - len(own), np.int64)))
                 np.add.at(own, docs, gain)
                 sums[r["no"]] = own
             for no, own in sums.items():

@@ -53,7 +53,7 @@ def test_equals_a_plain_program(spark, block):
     rng = random.Random(block)
     some = [f"{a}{b}" for a in ("ga", "Ré", "x1", "ζ") for b in range(30)]
     docs = [(i, rng.choice([" ", ", ", "\t"]).join(rng.choice(some) for _ in range(rng.randint(0, 60)))) for i in range(150)]
-    docs += [(1000 + i, "the the the " * 20) for i in range(70)]  # copies, and one word in most of the text
+    docs += [(1000 + i, "the the the " * 20) for i in range(186)]  # copies, and one word in most of the text
     target = [(" ".join(some[:12] * 3),), ("the end",), (None,)]
     assert drawn(spark, docs, target, block=block, buckets=97) == plain(docs, target, 97)
 
