@@ -37,11 +37,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?|login|auth(?:orization)?)"""
-    r"""(?:[_-][A-Za-z0-9]+)*["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;]{8,})""",
-    re.I | re.A,
-)
+#: Names of credentials; one counts up to the end of its part of an identifier, and other parts may follow.
+NAME = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?|login|auth(?:orization)?)(?=[_-]|$)", re.I | re.A)
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]+", re.A)
+SEPARATOR = re.compile(r"""["']?[\x20\t]*[:=][\x20\t]*(["']?)""")
+BROKEN = re.compile(r"[_-]{2,}")
+VALUE = re.compile(r"""[^\s"'<>,;]*""")
+LEAST = 8
+#: Marks that end a sentence rather than a value.
+STRIPPED = ".#*%&$!?)"
 KINDS = ("assign", "access", "hex", "guess")
 #: A value is a secret of kind ``guess`` from this many guesses (log10) on.
 MIN_LOG10_GUESSES = 10.0
@@ -188,20 +192,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def context_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in credential context, in order and apart from each other.
+
+    A value stands behind an identifier that names a credential, and a separator: a whole quoted string on one line, else a run up to white space, quotes, <, >,
+    comma or semicolon, of LEAST characters at least. A value that itself begins with the name of another value gives way to that one, so chains of names lead to
+    the last; other names within a value open none of their own. Every character is looked at a bounded number of times.
+    """
+    found = []  # (start of the identifier, start and end of the value)
+    run = kept = -1  # ends of the last run of characters, with and without marks behind it
+    for m in IDENTIFIER.finditer(text):
+        at, end = m.span()
+        name = m.group()
+        if name[-1] in "_-":
+            continue
+        sep = SEPARATOR.match(text, end)
+        if not sep:
+            continue
+        for broken in BROKEN.finditer(name):  # parts of an identifier have one mark between them
+            at = m.start() + broken.end()
+        if not NAME.search(name, at - m.start()):
+            continue
+        start, quote = sep.end(), sep.group(1)
+        if quote:
+            close = text.find(quote, start)
+            line = text.find("\n", start, close) if close >= 0 else 0
+            if close >= 0 and line < 0:
+                found.append((m.start(), start, close))
+                continue
+        if start >= run:
+            value = VALUE.match(text, start)
+            run, kept = value.end(), start + len(value.group().rstrip(STRIPPED))
+        found.append((m.start(), start, kept))
+    found = [f for f in found if f[2] - f[1] >= LEAST]
+    out, done = [], 0
+    for k, (_, s, e) in enumerate(found):
+        if s >= done and not (k + 1 < len(found) and found[k + 1][0] == s):
+            out.append((s, e))
+            done = e
+    return out
+
+
 def guess_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str | None = None) -> list[tuple[int, int, int]]:
     """Values in credential context that are dear to guess; none that lies wholly in one base span.
 
     A base span over a part marks the value as a secret whatever its cost, so that no rest of it stays in the text.
     """
-    out = []
-    for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        value = m.group(1).rstrip(".#*%&$!?)")
-        e = s + len(value)
-        if any(a <= s and e <= b for a, _, b in base):
+    out, k, reach = [], 0, []
+    for s, e in context_values(text):
+        while k < len(base) and base[k][0] < e:
+            reach.append(base[k])
+            k += 1
+        reach = [x for x in reach if x[2] > s]  # the base spans over a part of the value
+        if any(a <= s and e <= b for a, _, b in reach):
             continue
-        cut = any(a < e and s < b for a, _, b in base)
-        if cut or guess_cost(value, vocabulary) >= MIN_LOG10_GUESSES:
+        if reach or guess_cost(text[s:e], vocabulary) >= MIN_LOG10_GUESSES:
             out.append((s, 3, e))
     return out
 
