@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-One model per class is fitted on labelled rows outside the held-out fold. Expressions count the texts they stand in. A class's
-bigrams, discounted, back off to the discounted bigrams of both classes together, shifted by the class's lower order: continuation
-counts, the numbers of distinct predecessors of a word in the class, discounted over document frequencies gathered over all
-documents. Both classes thus share their backoff counts, and share of it too: a context's weight is the same for
-both, so that expressions rare in either class tell little.
+One model per class is fitted on labelled rows outside the held-out fold. Expressions count the texts they stand in. Each model is a
+distribution over the next word, in three interpolated steps with absolute discounts:
 
-Log-likelihood ratios, toxic against ordinary, are divided by the length of what they cover: the whole text, and its most toxic passage of
-PASSAGE words, since a toxic text may be ordinary for the most part. A logistic curve of both, fitted on cross-fitted
-ratios of the training rows, turns them into a score.
+* words: in how many different contexts a word stands in the class (continuation counts), over document frequencies gathered over all documents;
+* shared pairs: the pairs of both classes together, over the class's words;
+* the class's pairs, over the shared pairs, which also weigh BACKOFF times their context's count, the same in both classes.
 
-DISCOUNT, SHARED, FLOOR, BACKOFF and PASSAGE were chosen by cross-fitted AUC on training rows alone.
+Both classes thus share their backoff counts, so that expressions rare in either class tell little.
+
+The log-likelihood under the toxic model less that under the ordinary one is divided by the length of what it covers: the whole text, and of its passages of
+PASSAGE words the most toxic one, since a toxic text may be ordinary for the most part. A logistic curve with weights of 0 or more for both, fitted on
+cross-fitted ratios of the training rows, turns them into a score.
+
+DISCOUNT, SHARED, FLOOR, BACKOFF and PASSAGE were chosen by cross-fitted AUC on training rows alone, among some thirty settings; longer passages told less (README).
 
 Bound: at most SAMPLE distinct texts of each class, by the order of a hash of the text, are used for fitting; texts of more than SAMPLE_CHARS
 characters are left out of it, not cut. No expression of the others is left
@@ -36,13 +39,13 @@ SAMPLE = 2500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Below one, so that expressions of a single text keep a part of their count.
-DISCOUNT = 0.9
-#: Weight of the document frequencies in a class's lower order, as a multiple of its continuation counts.
-SHARED = 1
+DISCOUNT = 0.98
+#: Weight of the document frequencies among a class's words, as a multiple of its continuation counts.
+SHARED = 0.3
 #: Documents that every word counts besides those it stands in: words of few documents tell little.
-FLOOR = 10
+FLOOR = 30
 #: Weight of the shared bigrams, as a multiple of their context's count.
-BACKOFF = 3
+BACKOFF = 30
 #: Words of a passage.
 PASSAGE = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -63,36 +66,56 @@ class KneserNey:
             if w in self.vocab:
                 base[self.vocab[w]] += c
         base /= base.sum()
-        # Pairs count the texts they stand in, not their repeats within one text.
+        # Pairs count the texts they stand in, not their repeats within one text. The context of a first word is v.
         keys: list[list[np.ndarray]] = [[], []]
         for t, y in zip(texts, toxic):
             i = self.ids(t)
             if len(i):
-                keys[y].append(np.unique(np.concatenate(([0], i[:-1])) * v + i))
+                keys[y].append(np.unique(self.pairs(i)))
         tables = [np.unique(np.concatenate(k or [np.zeros(0, np.int64)]), return_counts=True) for k in keys]
         both = np.unique(np.concatenate([k for k, _ in tables]))
         counts = [np.zeros(len(both)) for _ in tables]
         for into, (k, c) in zip(counts, tables):
             into[np.searchsorted(both, k)] = c
         prev, word = both // v, both % v
-        low = []
+        self.words = []
         for c in counts:
             n = np.bincount(word, weights=c > 0, minlength=v)
-            kept = np.maximum(n - DISCOUNT, 0)
-            rest = n.sum() - kept.sum() + SHARED * n.sum()
-            low.append((kept + rest * base) / max(kept.sum() + rest, 1e-9) if rest else base)
-        pool = counts[0] + counts[1]
-        total, types = np.bincount(prev, weights=pool, minlength=v), np.bincount(prev, minlength=v)
-        middle = (np.maximum(pool - DISCOUNT, 0) + DISCOUNT * types[prev] * base[word]) / total[prev]
-        logs = []
-        for c, u in zip(counts, low):
-            kept = np.maximum(c - DISCOUNT, 0)
-            mass = np.bincount(prev, weights=kept, minlength=v)
-            back = BACKOFF * total
-            logs.append(np.log((kept + back[prev] * middle * u[word] / base[word]) / (mass + back)[prev]))
+            kept, whole = np.maximum(n - DISCOUNT, 0), n.sum()
+            self.words.append((kept + (whole - kept.sum() + SHARED * whole) * base) / (whole * (1 + SHARED)) if whole else base)
+
+        def discounted(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Counts less their discounts, and of each context the count and what was taken off."""
+            return np.maximum(c - DISCOUNT, 0), np.bincount(prev, weights=c, minlength=v + 1), np.bincount(prev, weights=np.minimum(c, DISCOUNT), minlength=v + 1)
+
+        kept, total, off = discounted(counts[0] + counts[1])
+        self.known = total > 0
+        total = np.where(self.known, total, 1.0)
+        self.open = off / total  # what a known context leaves to the words
+        back, logs, gaps, self.pair, self.rest = BACKOFF * total, [], [], [], []
+        for c, u in zip(counts, self.words):
+            own, mass, free = discounted(c)
+            shared_pair = kept / total[prev] + self.open[prev] * u[word]
+            pair = (own + (free + back)[prev] * shared_pair) / (mass + back)[prev]
+            rest = (free + back) / (mass + back)
+            self.pair.append(pair)
+            self.rest.append(rest)
+            logs.append(np.log(pair))
+            gaps.append(np.where(self.known, np.log(rest), 0.0))
         self.keys = both
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
-        self.low = np.log(low[1] / low[0]).astype(np.float32)
+        self.low = np.log(self.words[1] / self.words[0]).astype(np.float32)
+        self.gap = (gaps[1] - gaps[0]).astype(np.float32)
+
+    def probabilities(self, context: int) -> np.ndarray:
+        """P(word | context) of both classes, ordinary first; words by their numbers, 0 for all unknown ones; context ``v`` for a text's start."""
+        out = np.stack([(r[context] * self.open[context] if self.known[context] else 1.0) * u for r, u in zip(self.rest, self.words)])
+        a, b = np.searchsorted(self.keys, [context * self.v, (context + 1) * self.v])
+        out[:, self.keys[a:b] % self.v] = [p[a:b] for p in self.pair]
+        return out
+
+    def pairs(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate(([self.v], ids[:-1])) * self.v + ids
 
     def ids(self, text: list[str]) -> np.ndarray:
         get = self.vocab.get
@@ -103,8 +126,8 @@ class KneserNey:
         if not text:
             return 0.0, 0.0
         i = self.ids(text)
-        k = np.concatenate(([0], i[:-1])) * self.v + i
-        out = self.low[i]
+        k = self.pairs(i)
+        out = self.low[i] + self.gap[k // self.v]
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             out = np.where(self.keys[at] == k, self.ratio[at], out)
@@ -132,6 +155,18 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1])
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``logistic`` with weights of 0 or more: columns whose weight would be negative go."""
+    use = np.arange(x.shape[1])
+    while True:
+        w = logistic(x[:, use], y)
+        if not len(use) or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = w[:-1], w[-1]
+            return out
+        use = np.delete(use, w[:-1].argmin())
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -187,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame):
         for k in range(len(texts)):
             if fold[k] == f:
                 x[k] = m.features(texts[k])
-    weights = logistic(x, np.array(y, float))
+    weights = rising(x, np.array(y, float))
     part = sum(y) / len(y)
     # The sample's share of toxic rows differs from that of all labelled rows.
     weights[-1] += np.log(prior / (1 - prior)) - np.log(part / (1 - part))
