@@ -207,8 +207,12 @@ def _dictionary(buckets: int):
     return run
 
 
+SUMS = "no long, ids array<bigint>, words array<bigint>, sums binary"
+_SUMS = pa.schema([("no", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("sums", pa.binary())])
+
+
 def _gained(gains: np.ndarray):
-    """(no, place, gain): what a task's packs bring each document."""
+    """What a task's packs bring each document of a block, as one row a block."""
 
     def run(batches):
         for b in batches:
@@ -222,12 +226,24 @@ def _gained(gains: np.ndarray):
                     own = np.concatenate((own, np.zeros(most + 1 - len(own), np.int64)))
                 np.add.at(own, docs, gain)
                 sums[r["no"]] = own
-            for no, own in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), no)), pa.array(np.arange(len(own))), pa.array(own)], ["no", "place", "gain"])
+            press = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_pylist([{"no": no, "sums": press(own.tobytes())} for no, own in sums.items()], schema=_SUMS)
 
     return run
 
 
+def _whole(block: pa.Table) -> pa.Table:
+    """The documents of one block with the gains of all their features."""
+    rows = block.to_pylist()
+    own = next(r for r in rows if r["ids"] is not None)
+    gain = np.zeros(len(own["ids"]), np.int64)
+    for r in rows:
+        if r["sums"] is not None:
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["sums"]), np.int64)
+            gain[: len(part)] += part
+    return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "n_words": pa.array(own["words"], pa.int64()), "gain": pa.array(gain)})
+
+
 def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_features, weight) of each row of ``docs`` (doc_id, text), ``target`` (text) being the distribution aimed at."""
     spark = docs.sparkSession
@@ -243,10 +259,9 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block: i
     gains = np.zeros(buckets, np.int64)
     for r in counts.crossJoin(F.broadcast(every)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).collect():  # as many rows as buckets
         gains[r["bucket"]] = r["gain"]
-    gained = hashed.where("buckets is not null").select("no", "posts", "docs", "counts", "buckets").mapInArrow(_gained(gains), "no long, place long, gain long")
-    own = hashed.where("ids is not null").select("no", F.posexplode(F.arrays_zip("ids", "words")).alias("place", "d"))
-    own = own.select("no", C("place").cast("long").alias("place"), F.lit(0).cast("long").alias("gain"), C("d.ids").alias("doc_id"), C("d.words").alias("n_words"))
-    both = own.unionByName(gained, allowMissingColumns=True).groupBy("no", "place").agg(F.sum("gain").alias("gain"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    gained = hashed.where("buckets is not null").select("no", "posts", "docs", "counts", "buckets").mapInArrow(_gained(gains), SUMS)
+    own = hashed.where("ids is not null").select("no", "ids", "words", F.lit(None).cast("binary").alias("sums"))
+    both = own.unionByName(gained).groupBy("no").applyInArrow(_whole, "doc_id long, n_words long, gain long")
     features = C("n_words") + F.greatest(C("n_words") - 1, F.lit(0))
     weight = F.when(C("n_features") > 0, F.expr("(gain - pmod(gain, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))
     return both.withColumn("n_features", features).select("doc_id", "n_words", "n_features", weight.alias("weight"))
