@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import struct, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S
 )
 MARK = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -40,9 +40,10 @@ SPACE = re.compile(r"\s+")
 
 # HTML element names by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math textarea select title canvas audio video".split())
+RAW = set("script style noscript template iframe object svg annotation textarea select title canvas audio video".split())
 INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s
-samp small span strike strong sub sup time tt u var wbr""".split())
+samp small span strike strong sub sup time tt u var wbr
+math mfenced mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics""".split())
 BOILER = set("nav header footer aside form menu dialog button head".split())
 MAIN = set("article main".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
@@ -58,6 +59,8 @@ PROSE, LISTED = set("p blockquote pre".split()), set("li td th dd dt figcaption"
 #: Smoothness of neighbours and of consecutive children, and what part of it stays across the bounds of marked elements.
 ADJACENT, SIBLING, APART = 0.7, 0.9, 0.3
 CLIP = 2.5
+#: An element with this part of a page's text outside, or more, is no wrapper of the page.
+WRAPPED = 0.25
 #: Labelled pages that the classifier is fitted on, and the marked elements around a block that it sees.
 EXAMPLES, LEVELS = 400, 3
 CONTENT_SIGN = "\x01"
@@ -85,8 +88,10 @@ class Element:
         names = [w for g in MARK.findall(attributes) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w]
         good = sum(w in CONTENT_NAMES for w in names) / max(1, len(names))
         bad = 0.0 if tag in ("html", "body") else sum(w in NAMES for w in names) / max(1, len(names))
-        if good or bad or tag in MAIN or tag in BOILER:
-            self.marks = ((float(tag in MAIN), good, float(tag in BOILER), bad, number), *self.marks[: LEVELS - 1])
+        self.main = tag in MAIN or bool(above and above.main)
+        boiler = tag in BOILER and not (tag == "header" and self.main)  # an article's own header holds its title
+        if good or bad or tag in MAIN or boiler:
+            self.marks = ((float(tag in MAIN), good, float(boiler), bad, number), *self.marks[: LEVELS - 1])
 
 
 def blocks(page: str) -> list[dict]:
@@ -174,9 +179,14 @@ def _end(tag: str) -> re.Pattern:
 def evidence(found: list[dict]) -> np.ndarray:
     """One row of numbers per block."""
     inside: Counter[int] = Counter()
+    holds = set()  # marked elements around other marked ones
     for b in found:
+        inner = False
         for mark in b["marks"]:
             inside[mark[4]] += len(b["text"])
+            if inner:
+                holds.add(mark[4])
+            inner = True
     whole = max(1, sum(len(b["text"]) for b in found))
     rows = []
     for b in found:
@@ -184,7 +194,10 @@ def evidence(found: list[dict]) -> np.ndarray:
         row = [1.0, math.log1p(len(t) / 40), b["links"], float(t[-1] in ".!?:;\u2026\u3002\"'\u201d"), float(tag in PROSE), float(tag in HEADING), float(tag in LISTED)]
         for k in range(LEVELS):
             main, good, tagged, bad, number = b["marks"][k] if k < len(b["marks"]) else (0.0, 0.0, 0.0, 0.0, -1)
-            apart = 1 - inside[number] / whole if number >= 0 else 0.0
+            # A mark of boilerplate tells little on a wrapper: an element around nearly the whole page, or around other marked ones.
+            apart = 0.0 if number < 0 else 1 - inside[number] / whole
+            if number not in holds:
+                apart = 1.0 if tagged or bad == 1 else min(1.0, apart / WRAPPED)
             row += [main, good, tagged * apart, bad * apart]
         rows.append(row)
     return np.array(rows, float).reshape(len(rows), 7 + 4 * LEVELS)
@@ -215,7 +228,8 @@ def example(r: random.Random) -> str:
         return box(r.choice(("comments", "disqus", "replies")), f"<h3>{words(2)}</h3>" + inner, r.choice(("div", "section")))
 
     def content(bare: bool) -> str:
-        own = [f"<h1>{CONTENT_SIGN}{words(r.randint(2, 9))}</h1>"]
+        title = f"<h1>{CONTENT_SIGN}{words(r.randint(2, 9))}</h1>"
+        own = [r.choice((title, title, f"<header>{title}</header>", f"<div class=header>{title}</div>"))]
         for _ in range(r.randint(2, 9)):
             name = r.choice(("", "", "", "", ' class="share-price"', ' class="lead"', ' class="intro promo-code"'))
             own.append(r.choice((f"<p{name}>{prose(CONTENT_SIGN)}</p>", f"<p>{prose(CONTENT_SIGN)}</p>", f"<p>{prose(CONTENT_SIGN)}", f"<h2>{CONTENT_SIGN}{words(3)}</h2>", f"<div>{prose(CONTENT_SIGN)}</div>",
@@ -233,7 +247,7 @@ def example(r: random.Random) -> str:
         inner = f'<div class="{kind}">{inner}</div>' if kind else f"<div>{inner}</div>"
     if bare:
         return inner
-    side = r.choice(("", box("sidebar", links(4) + box("content", f"<p>{prose()}</p>"), r.choice(("div", "aside")))))
+    side = r.choice(("", box("sidebar", f"<p>{prose()}</p>" * r.randint(1, 6)), box("sidebar", links(4) + box("content", f"<p>{prose()}</p>"), r.choice(("div", "aside")))))
     wrapper = r.choice(("", "", "page with-sidebar", "layout sidebar-left", "wrapper", "container", "site has-menu"))
     inner = inner + side if r.random() < 0.5 else side + inner
     if wrapper:
