@@ -3,8 +3,9 @@
 Equal vectors collapse to one node that keeps its k + 1 smallest ids. Nodes are dealt by hash to shards
 of at most about SHARD, so that an index fits a worker; each shard's hierarchy is stored as flat
 neighbour arrays in the shared folder. Nodes are numbered by falling level, so that a layer is a prefix of them and
-holds arrays for its own nodes only. A node links to diverse ones among the CANDIDATES nearest of the nodes before it, found by blocked
-products within the shard. Every query goes to every shard: an index is read once and the blocks of queries stream past
+holds arrays for its own nodes only. A node links to diverse ones among the CANDIDATES nearest of the nodes before it, found by a search of
+the hierarchy built so far (by products within its block and while a layer is small). When a shard is built, PROBES of its own nodes are searched and compared with brute force within the shard;
+the width of searches doubles until they find RECALL of the nearest, and is stored with the index. Every query goes to every shard: an index is read once and the blocks of queries stream past
 it; shard results are merged, and nodes expand to their ids.
 
 Nearness is the inner product. The graph is built on vectors lengthened by
@@ -29,8 +30,10 @@ LEAST = 4096
 #: Bytes for the marks of visited nodes in one search.
 MARKS = 1 << 26
 DEGREE = 16
-#: Candidates of a new node, and links kept open in a search: SEARCH at least, and REACH roots of the shard's nodes.
-CANDIDATES, SEARCH, REACH = 64, 128, 3
+#: Candidates of a new node, links kept open while it is inserted, and nodes up to which a layer is linked by products.
+CANDIDATES, OPEN, SMALL = 64, 96, 4096
+#: Links kept open in a query's search: SEARCH at least, doubled until PROBES nodes of the shard find RECALL of their nearest.
+SEARCH, PROBES, RECALL = 128, 128, 0.95
 WIDTH = 16
 BLOCK = 1024
 
@@ -94,17 +97,23 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sim: np.ndarray, degree: int) -> np
     return np.take_along_axis(ids, at, 1)
 
 
-def build_layer(x: np.ndarray, n: int, degree: int) -> np.ndarray:
-    """Neighbour array (n, degree) of the first ``n`` rows, inserted in order in blocks."""
+def build_layer(x: np.ndarray, n: int, degree: int, above: list[np.ndarray] = ()) -> np.ndarray:
+    """Neighbour array (n, degree) of the first ``n`` rows, inserted in order in blocks; ``above`` are the layers over it."""
     near = np.full((n, degree), -1, np.int32)
+    small = max(SMALL, len(above[-1]) if above else 0)
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
-        sim = x[a:b] @ x[:b].T
-        sim[np.arange(a, b)[:, None] <= np.arange(b)[None, :]] = -np.inf  # only nodes before
-        m = min(CANDIDATES, b)
-        ids = np.argpartition(-sim, m - 1, axis=1)[:, :m] if m < b else np.broadcast_to(np.arange(b), sim.shape)
+        base = 0 if a < small else a
+        sim = x[a:b] @ x[base:b].T
+        sim[np.arange(a, b)[:, None] <= np.arange(base, b)[None, :]] = -np.inf  # only nodes before
+        m = min(CANDIDATES, b - base)
+        ids = np.argpartition(-sim, m - 1, axis=1)[:, :m] if m < b - base else np.broadcast_to(np.arange(b - base), sim.shape)
         s = np.take_along_axis(sim, ids, 1)
-        order = np.argsort(-s, axis=1, kind="stable")
+        ids = ids + base
+        if base:
+            old, old_s = search(x[a:b], x[:a], near[:a], enter(x[a:b], x, above), OPEN)
+            ids, s = np.concatenate([old[:, :CANDIDATES], ids], 1), np.concatenate([old_s[:, :CANDIDATES], s], 1)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :CANDIDATES]
         ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
         ids = np.where(np.isfinite(s), ids, -1)
         mine = _diverse(x, ids, s, degree // 2)
@@ -114,6 +123,14 @@ def build_layer(x: np.ndarray, n: int, degree: int) -> np.ndarray:
     return near
 
 
+def enter(q: np.ndarray, x: np.ndarray, above: list[np.ndarray]) -> np.ndarray:
+    """Where searches of the next layer begin: the best nodes found from the top down."""
+    entry = np.zeros((len(q), 1), np.int64)
+    for near in above:
+        entry = search(q, x[: len(near)], near, entry, 16)[0][:, :8]
+    return entry
+
+
 def _link(x: np.ndarray, near: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
     """Add the links src -> dst; nodes without room keep diverse ones of all they have."""
     o = np.argsort(src, kind="stable")
@@ -148,18 +165,33 @@ def lengthened(x: np.ndarray) -> np.ndarray:
 class Index:
     """Layers from the top down; ``near[k]`` holds the neighbour arrays of the layer's nodes, a prefix of all."""
 
-    def __init__(self, vectors: np.ndarray, near: list[np.ndarray] | None = None):
+    def __init__(self, vectors: np.ndarray, near: list[np.ndarray] | None = None, width: int = SEARCH):
         """``vectors`` must be in an order that has nothing to do with them, as ``level_sizes`` deals levels by place."""
-        self.x = lengthened(vectors)
-        self.near = near if near is not None else [build_layer(self.x, n, 2 * DEGREE) for n in level_sizes(len(vectors))]
+        self.x, self.width = lengthened(vectors), width
+        if near is not None:
+            self.near = near
+            return
+        self.near = []
+        for n in level_sizes(len(vectors)):
+            self.near.append(build_layer(self.x, n, 2 * DEGREE, self.near))
 
     def query(self, q: np.ndarray, k: int) -> np.ndarray:
         q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-        entry = np.zeros((len(q), 1), np.int64)
-        for near in self.near[:-1]:
-            entry = search(q, self.x[: len(near)], near, entry, 16)[0][:, :8]
-        ef = max(SEARCH, 2 * k, int(REACH * len(self.x) ** 0.5))
-        return search(q, self.x, self.near[-1], entry, ef)[0][:, :k]
+        return search(q, self.x, self.near[-1], enter(q, self.x, self.near[:-1]), max(self.width, 2 * k))[0][:, :k]
+
+    def widen(self, k: int) -> None:
+        """Double the width of searches until probes among the nodes find RECALL of their k nearest."""
+        n = len(self.x)
+        # Nodes of the bottom layer come last; each asks as a query does, without its added coordinate.
+        q = self.x[max(0, n - PROBES) :, :-1]
+        sim = q @ self.x[:, :-1].T
+        m = min(k, n)
+        best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+        while self.width < n:
+            got = self.query(q, k)
+            if np.mean([len(np.intersect1d(a, b)) for a, b in zip(got, best)]) >= RECALL * m:
+                break
+            self.width *= 2
 
 
 def level_sizes(n: int) -> list[int]:
@@ -177,7 +209,7 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
 
 
-INDEX = "dim int, shard int, n int, x binary, near binary, size binary, ids binary"
+INDEX = "dim int, shard int, n int, width int, x binary, near binary, size binary, ids binary"
 
 
 def _batches(frames, keys: list[str]):
@@ -207,10 +239,11 @@ def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
         for (dim, shard), b in _batches(frames, ["dim", "shard"]):
             x = np.stack(b["v"].to_list())
             index = Index(x)
+            index.widen(k + 1)
             size = np.array([len(i) for i in b["ids"]], np.int32)
             ids = np.concatenate([np.asarray(i, np.int64) for i in b["ids"]])
             near = b"".join(a.tobytes() for a in index.near)
-            yield pd.DataFrame([(dim, shard, len(x), x.tobytes(), near, size.tobytes(), ids.tobytes())], columns=[f.split(" ")[0] for f in INDEX.split(", ")])
+            yield pd.DataFrame([(dim, shard, len(x), index.width, x.tobytes(), near, size.tobytes(), ids.tobytes())], columns=[f.split(" ")[0] for f in INDEX.split(", ")])
 
     # A partition holds one shard, its rows ordered by a hash, which deals the levels.
     dealt = keyed.repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "h")
@@ -224,7 +257,7 @@ def _load(row) -> tuple[Index, np.ndarray, np.ndarray, np.ndarray]:
     for n in level_sizes(row.n):
         near.append(flat[at : at + n * 2 * DEGREE].reshape(n, -1))
         at += n * 2 * DEGREE
-    return Index(x, near), x, np.frombuffer(row.ids, np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(row.size, np.int32))))
+    return Index(x, near, row.width), x, np.frombuffer(row.ids, np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(row.size, np.int32))))
 
 
 def _best(loaded, qid: np.ndarray, q: np.ndarray, k: int):
@@ -251,7 +284,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # Numbers are never null here, so that pandas keeps them whole.
     blank = {"x": "binary", "near": "binary", "size": "binary", "ids": "binary"}
     each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    q = queries.distinct().select(F.size("v").alias("dim"), F.lit(1).alias("seq"), "vec_id", "v", F.xxhash64("v").alias("h"), each).withColumn("n", F.lit(0))
+    q = queries.distinct().select(F.size("v").alias("dim"), F.lit(1).alias("seq"), "vec_id", "v", F.xxhash64("v").alias("h"), each).withColumns({"n": F.lit(0), "width": F.lit(0)})
     q = q.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
     first = index.withColumns({"seq": F.lit(0), "vec_id": F.lit(0).cast("long"), "v": F.lit(None).cast("array<double>"), "h": F.lit(0).cast("long")})
     # In each partition an index comes first and its queries stream past it.
