@@ -1,6 +1,6 @@
-"""Command line: run workloads, compare their plans, write result rows.
+"""Command line: run workloads, compare their plans, write result rows, analyse them.
 
-Exit codes: 0, 2 if a result is wrong and validation is on, 1 on any error.
+Exit codes: 0, 2 if a result is wrong and validation is on or exact measures are required and absent, 1 on any error.
 """
 
 from __future__ import annotations
@@ -46,9 +46,35 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-validate", action="store_true", help="wrong results do not change the exit code")
     p.add_argument("--verbose", action="store_true")
     p.add_argument("--set", action="append", type=_pair, default=[], metavar="KEY=VALUE", help="a size of the preset, or sweep_label")
+    p.add_argument("--sweep", action="store_true", help="run the workload at all points of its sweep")
+    p.add_argument("--analyze", metavar="ROWS", help="analyse result lines instead of running; reports go to --output")
+    p.add_argument("--require-exact", action="store_true", help="an analysis without exact frontier measures ends with code 2")
     return p
 
 
+def analyze(a: argparse.Namespace, spark) -> int:
+    """The report of each workload that the result lines hold."""
+    from quern.plans import analytics
+    from quern.sources import results
+
+    rows = results.read_jsonl(spark, a.analyze)
+    there = {r["benchmark"] for r in rows.select("benchmark").distinct().collect()}
+    names = [n for n in analytics.ANALYSES if n in there and a.benchmark in ("all", n)]
+    if not names:
+        raise ValueError("no result lines of such a workload")
+    code = 0
+    for name in names:
+        found = results.write_analysis(a.output, rows, name) if a.output else analytics.ANALYSES[name](rows)
+        print(results.markdown(found))
+        if name == "graph_weighted_relaxation":
+            print(results.markdown(analytics.recommended(found)))
+        if name == "graph_bfs":
+            print("\n".join(analytics.bfs_diagnosis(found)))
+            if a.require_exact and analytics.lacks_exact(found):
+                code = 2
+    return code
+
+
 def parse(args: list[str]) -> Config:
     """The run that the arguments ask for; a ValueError names what is wrong with them."""
     a = parser().parse_args(args)
@@ -68,7 +94,12 @@ def main(args: list[str] | None = None, spark=None) -> int:
         from quern.sources import results
 
         spark = spark or SparkSession.builder.getOrCreate()
-        rows = harness.run(spark, config)
+        asked = parser().parse_args(args)
+        if asked.analyze:
+            return analyze(asked, spark)
+        if asked.sweep and config.benchmark not in harness.SWEEPS:
+            raise ValueError(f"no sweep of {config.benchmark}")
+        rows = harness.sweep(spark, config.benchmark, harness.SWEEPS[config.benchmark], config) if asked.sweep else harness.run(spark, config)
         frame = results.result_frame(spark, rows)
         print(results.console(frame))
         if config.output:

@@ -30,12 +30,12 @@ def _small(e: DataFrame, total: int) -> DataFrame:
     return kept.union(low.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", run=None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Nodes without links do not appear. Self links, repeated links and either
     direction are fine; links with a null end are dropped. Each star step is written to
-    the shared folder; the driver sees only a count and a checksum.
+    the shared folder; the driver sees only a count and a checksum. ``run`` takes notes of the rounds.
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -46,10 +46,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         drop_written(e)
         e = written(_small(large, total).where("u <> v").distinct(), "edges")
         drop_written(large)
+        if run:
+            run.iterations, run.edge_iterations, run.max_frontier = run.iterations + 1, run.edge_iterations + total, max(run.max_frontier, total)
         sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sign) == seen:
             break
         seen = tuple(sign)
         total = sign[0]
+    if run:
+        run.converged = True
     node = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return node.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -224,3 +224,31 @@ def profile(edges: str, nodes: str) -> str:
   SELECT CAST(sum(size) AS BIGINT) AS reached_count, max(depth) AS max_distance, count(*) AS frontier_level_count, max(size) AS max_frontier_size, CAST(sum(visits) AS BIGINT) AS reached_edge_visits, CAST(max(visits) AS BIGINT) AS max_frontier_edge_visits,
     avg(size) AS mean_frontier_size, avg(visits) AS mean_frontier_edge_visits, sum(visits)::DOUBLE / sum(size)::DOUBLE AS mean_reached_out_degree, CASE WHEN max(depth) > 0 THEN max(size)::DOUBLE / max(depth) ELSE 0 END AS frontier_width_to_depth,
     (SELECT CAST(sum(coalesce(d.depth, -1) * (n.i + 1)) AS BIGINT) FROM {nodes} n LEFT JOIN d ON d.node = n.i) AS checksum FROM l"""
+
+
+# Compressed rows, paths and histograms over given tables
+
+
+def ends(edges: str) -> str:
+    return f"(SELECT DISTINCT src AS i FROM {edges})"
+
+
+def path_stats(edges: str) -> str:
+    return f"""SELECT count(distance) AS reached_count, coalesce(max(distance), 0) AS max_finite_distance, CAST(sum(coalesce(distance, -1) * (i + 1)) AS BIGINT) AS checksum
+  FROM {ends(edges)} n LEFT JOIN ({nearest(edges)}) d ON d.node = n.i"""
+
+
+RANKED = "(SELECT DISTINCT l_partkey AS src, l_suppkey + (SELECT count(*) FROM part) AS dst FROM lineitem)"
+CSR_OFFSETS = f"SELECT n.i AS node, CAST(count(e.src) AS BIGINT) AS \"offset\" FROM (SELECT unnest(range((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + 1)) AS i) n LEFT JOIN {RANKED} e ON e.src < n.i GROUP BY n.i"
+CSR_EDGES = f"SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_index, src, dst FROM {RANKED}"
+CSR_DEGREES = "SELECT l_partkey AS node, count(*) AS degree FROM lineitem GROUP BY 1"
+COMPONENT_INDEX = f"SELECT node, label, dense_rank() OVER (ORDER BY label) - 1 AS component_index FROM ({labelled(PART_SUPPLIER)})"
+
+
+def binned(rows: str, x: str, where: str = "true", bins: int = 40) -> str:
+    return f"""WITH v AS (SELECT CAST({x} AS DOUBLE) AS x FROM ({rows}) WHERE {where}), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
+  SELECT CAST(b AS INT) AS bin, count(x) AS n FROM (SELECT unnest(range({bins})) AS b) LEFT JOIN (SELECT x, least({bins - 1}, coalesce(floor((x - lo) / nullif(hi - lo, 0) * {bins}), 0)) AS k FROM v, e) ON k = b GROUP BY b"""
+
+
+MOVE_HISTOGRAM = binned(LS_ROWS, "delta", "valid")
+SCORE_HISTOGRAM = binned(SC_ROWS, "score")

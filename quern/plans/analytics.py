@@ -61,7 +61,7 @@ def mean(variant: str) -> Column:
 
 def chosen(variant: str, last: bool = False, correct: bool = True) -> Column:
     """The first or last row of a variant, as a struct."""
-    return (F.max_by if last else F.min_by)(F.struct("metadata", "preset", "ms", "kernel", "correct"), F.when(_rows(variant, correct), C("line")))
+    return (F.max_by if last else F.min_by)(F.struct("metadata", "preset", "ms", "kernel", "correct"), F.when(_rows(variant, correct), C("place")))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -301,19 +301,19 @@ def crossovers(summary: DataFrame, speedups: list[str]) -> DataFrame:
 def delta_tuning(rows: DataFrame, correct_only: bool = False) -> DataFrame:
     """(case, delta, variant, ms_per_run, iterations, correct) of rows whose label names a delta."""
     t = timed(rows, "graph_weighted_relaxation").withColumn("d", label_delta(C("preset"))).where("d.delta is not null")
-    out = t.select("line", "d.case", "d.delta", "variant", C("ms").alias("ms_per_run"), strict(meta("iterations")).alias("iterations"), "correct")
-    return (out.where("correct") if correct_only else out).orderBy("case", "delta", "variant", "line").drop("line")
+    out = t.select("place", "d.case", "d.delta", "variant", C("ms").alias("ms_per_run"), strict(meta("iterations")).alias("iterations"), "correct")
+    return (out.where("correct") if correct_only else out).orderBy("case", "delta", "variant", "place").drop("place")
 
 
 def compared(rows: DataFrame) -> DataFrame:
     """(benchmark, preset, cpu_ms, gpu_ms, speedup) of the last rows of both variants; whole times, not those of a repeat."""
-    last = [F.max_by("total_ms", F.when(C("variant") == v, C("line"))).alias(f"{v}_ms") for v in ("cpu", "gpu")]
+    last = [F.max_by("total_ms", F.when(C("variant") == v, C("place"))).alias(f"{v}_ms") for v in ("cpu", "gpu")]
     g = rows.groupBy("benchmark", "preset").agg(*last).where("cpu_ms is not null and gpu_ms > 0")
     return g.withColumn("speedup", C("cpu_ms") / C("gpu_ms")).orderBy("benchmark", "preset")
 
 
 def report(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("line").select("benchmark", "variant", "preset", "total_ms", "kernel_ms", "correct", "device")
+    return rows.orderBy("place").select("benchmark", "variant", "preset", "total_ms", "kernel_ms", "correct", "device")
 
 
 def scaling(summary: DataFrame, by: str = "nodes") -> DataFrame:
@@ -322,3 +322,15 @@ def scaling(summary: DataFrame, by: str = "nodes") -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), C(n).cast("double").alias("value")) for n in names])).alias("s")
     kind = C("graph_kind") if "graph_kind" in summary.columns else F.lit("")
     return summary.select(kind.alias("kind"), C(by).alias("size"), each).select("kind", "size", "s.*").where("value is not null")
+
+
+#: The analysis of each workload that has one.
+ANALYSES = {
+    "graph_bfs": bfs, "graph_connected_components": components, "graph_weighted_relaxation": paths, "constraint_network": constraints, "combination_finder": combinations, "assignment_preprocessing": assignment,
+    "local_search_moves": local_search, "scenario_simulation": scenarios,
+}
+
+
+def lacks_exact(summary: DataFrame) -> bool:
+    """Whether a traversal analysis has no point with exact frontier measures."""
+    return summary.where("frontier_metric_source = 'exact'").isEmpty()

@@ -1,4 +1,8 @@
-"""The workloads by name and preset: they are generated, run, timed, compared with a second plan, and reported as result rows."""
+"""The workloads by name and preset: they are generated, run, timed, compared with an independent plan, and reported as result rows.
+
+Variants have the names that the analyses know. ``cpu`` is the plan that all others are compared with: the array programs of ``operators.plain``, the blocks of
+``operators.blocks``, or forests; ``gpu`` and its relatives are the plans of column expressions and rounds of joins. ``cpu`` itself is compared with ``gpu``.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import horner
 from quern.operators import evaluators as ev
 from quern.operators import graph as go
+from quern.operators import plain
 from quern.plans.validate import validate
 from quern.sources import entities as en
 from quern.sources import graphs as gr
@@ -76,14 +81,20 @@ def sizes(benchmark: str, preset: str, params: dict[str, str] | None = None) ->
     return out
 
 
-def make_graph(spark: SparkSession, s: dict) -> tuple[DataFrame, int]:
+def graph_parameters(s: dict) -> tuple[str, dict]:
+    """The kind of a workload's graph and its parameters, by the names that ``sources.graphs`` has."""
     kind = s["graph"]
     given = {
         "nodes": s.get("chain_nodes") if kind == "chain" else s.get("random_nodes"), "width": s.get("nodes_per_layer") if kind == "layered" else s.get("grid_width"), "height": s.get("grid_height"),
         "layers": s.get("layers"), "fanout": s.get("fanout"), "degree": s.get("random_out_degree"), "seed": s.get("seed"), "components": s.get("components"), "size": s.get("component_size"),
     }
-    if kind == "random" and "components" in s:
-        kind = "random_clusters"
+    if "components" in s:
+        kind = {"random": "random_clusters", "chain": "chain_components", "grid": "grid_components"}.get(kind, kind)
+    return kind, given
+
+
+def make_graph(spark: SparkSession, s: dict) -> tuple[DataFrame, int]:
+    kind, given = graph_parameters(s)
     return gr.make(spark, kind, **given)
 
 
@@ -103,53 +114,84 @@ def _entities(spark: SparkSession, name: str, s: dict) -> tuple:
     return en.scenarios(n("scenarios"), s["tasks"], s["resources"]), plan
 
 
-def variants(spark: SparkSession, name: str, s: dict) -> tuple[dict, callable, int]:
-    """Plans of a workload by variant, each giving comparable rows; a function that sums rows up; and the number of its units."""
+def variants(spark: SparkSession, name: str, s: dict) -> tuple[dict, callable, int, dict]:
+    """Plans of a workload by variant, each giving comparable rows; a function that sums rows up; the number of its units; and how its graph's plans ran, by variant."""
+    runs: dict[str, go.Run] = {}
     if name == "foundation_smoke":
-        values = lambda: en.smoke_values(en.numbered(spark, s["values"]))
-        return {"expressions": values}, lambda d: d.agg(F.count("*").alias("n"), F.sum("y").alias("checksum")), s["values"]
+        ids = lambda: en.numbered(spark, s["values"])
+        return {"cpu": lambda: plain.smoke(ids()), "gpu": lambda: en.smoke_values(ids())}, lambda d: d.agg(F.count("*").alias("n"), F.sum("y").alias("checksum")), s["values"], runs
     if name == "polynomial_batch":
         c = en.polynomial_coefficients()
         x = lambda: en.polynomial_domain(en.numbered(spark, s["values"]))
         folded = lambda: x().select("i", horner(F.col("x"), c).alias("y"))
         array = F.array(*[F.lit(v) for v in reversed(c)])
         looped = lambda: x().select("i", F.aggregate(array, F.lit(0.0), lambda a, k: a * F.col("x") + k).alias("y"))
-        return {"expressions": folded, "aggregate": looped}, lambda d: d.agg(F.count("*").alias("n"), F.sum("y").alias("checksum")), s["values"]
+        return {"cpu": looped, "gpu": folded}, lambda d: d.agg(F.count("*").alias("n"), F.sum("y").alias("checksum")), s["values"], runs
     if name == "combination_finder":
-        found = lambda: ev.combination_summary(ev.evaluate_combinations(en.items(en.numbered(spark, s["items"])), s["k"]))
-        return {"joins": found}, lambda d: d, ev.combinations_count(s["items"], s["k"])
+        items = lambda: en.items(en.numbered(spark, s["items"]))
+        joined = lambda: ev.combination_summary(ev.joined_combinations(items(), s["k"]))
+        return {"cpu": lambda: ev.combination_totals(items(), s["k"]), "gpu": joined}, lambda d: d, ev.combinations_count(s["items"], s["k"]), runs
     if name.startswith("graph_"):
         edges, n = make_graph(spark, s)
         nodes = spark.range(n).select(F.col("id").alias("node"))
+        kind, given = graph_parameters(s)
+        limit = go.guard(gr.NAMES.get(kind, kind), n, **{k: v for k, v in given.items() if k != "nodes"})
+
+        def ran(variant: str) -> go.Run:
+            runs[variant] = go.Run()
+            return runs[variant]
+
+        def noted(variant: str, found: tuple[DataFrame, go.Run]) -> DataFrame:
+            runs[variant] = found[1]
+            return found[0]
+
         if name == "graph_bfs":
             if not 0 <= s["source"] < n:
                 raise ValueError("the source is no node of the graph")
             edges = go.written(edges, "edges")
-            unit = lambda: go.local_paths(edges.withColumn("weight", F.lit(1)), s["source"]).withColumnRenamed("distance", "depth")
-            local = lambda: nodes.join(unit(), "node", "left").fillna(go.UNREACHED, ["depth"])
-            return {"rounds": lambda: go.bfs(edges, s["source"], nodes, max_rounds=n + 1), "local": local}, lambda d: go.bfs_profile(d, edges), n
+            rounds = lambda: go.bfs_rounds(edges, s["source"], nodes, n + 1, ran("gpu"))
+            return {"cpu": lambda: go.bfs(edges, s["source"], nodes, ran("cpu")), "gpu": rounds}, lambda d: go.bfs_profile(d, edges), n, runs
         if name == "graph_connected_components":
             edges = go.written(edges, "edges")
-            return {"stars": lambda: go.components(edges, nodes), "propagation": lambda: go.propagated_components(edges, nodes, n + 1)[0]}, go.component_stats, n
+            spread = lambda: noted("gpu", go.propagated_components(edges, nodes, limit))
+            stars = lambda: go.components(edges, nodes, ran("gpu-non-naive"))
+            return {"cpu": lambda: go.forest_components(edges, nodes), "gpu": spread, "gpu-non-naive": stars}, go.component_stats, n, runs
         edges = go.written(gr.weighted(edges), "edges")
-        plans = {m: (lambda m=m: go.with_unreached(go.shortest_paths(edges, s["source"], m, s["delta"], 8 * n + 8)[0], nodes)) for m in ("frontier", "global", "delta", "light_heavy")}
-        plans["local"] = lambda: go.with_unreached(go.local_paths(edges, s["source"]), nodes)
-        return plans, go.path_stats, n
+
+        def paths(variant: str, method: str) -> callable:
+            return lambda: go.with_unreached(noted(variant, go.shortest_paths(edges, s["source"], method, s["delta"])), nodes)
+
+        methods = {"cpu": "blocks", "gpu": "global", "gpu-frontier": "frontier", "gpu-delta-stepping": "delta", "gpu-delta-light-heavy": "light_heavy"}
+        return {v: paths(v, m) for v, m in methods.items()}, go.path_stats, n, runs
     e = _entities(spark, name, s)
     if name == "cost_matrix":
-        return {"product": lambda: ev.cost_pairs(*e)}, ev.cost_summary, s["tasks"] * s["resources"]
+        return {"cpu": lambda: plain.costs(*e), "gpu": lambda: ev.cost_pairs(*e)}, ev.cost_summary, s["tasks"] * s["resources"], runs
     if name == "spatial_events":
         pairs = s["tracks"] * s["zones"]
-        return {"product": lambda: ev.spatial_matrix(*e).where("code > 0"), "cells": lambda: ev.spatial_events(*e)}, lambda d: ev.spatial_summary(d, pairs), pairs
+        return {"cpu": lambda: ev.spatial_matrix(*e).where("code > 0"), "gpu": lambda: ev.spatial_events(*e)}, lambda d: ev.spatial_summary(d, pairs), pairs, runs
     if name == "constraint_network":
-        return {"lookups": lambda: ev.evaluate_candidates(*e)}, ev.candidate_summary, s["candidates"]
+        return {"cpu": lambda: plain.candidates(*e), "gpu": lambda: ev.evaluate_candidates(*e)}, ev.candidate_summary, s["candidates"], runs
     if name == "assignment_preprocessing":
         whole = lambda: ev.padded(ev.top_assignments(ev.assignment_pairs(*e).where("mask = 0"), s["top_k"]), e[0], s["top_k"])
         by_skill = lambda: ev.padded(ev.top_assignments(ev.feasible_assignments(*e), s["top_k"]), e[0], s["top_k"])
-        return {"product": whole, "skills": by_skill}, lambda d: ev.assignment_summary(d.where("resource_id >= 0"), s["tasks"] * s["resources"]), s["tasks"] * s["resources"]
+        pairs = s["tasks"] * s["resources"]
+
+        def summed(d: DataFrame) -> DataFrame:
+            return ev.assignment_summary(d.where("resource_id >= 0"), pairs).crossJoin(F.broadcast(ev.assignment_reasons(ev.assignment_pairs(*e))))
+
+        return {"cpu": whole, "gpu": by_skill}, summed, pairs, runs
     if name == "local_search_moves":
-        return {"lookups": lambda: ev.evaluate_moves(*e)}, ev.move_summary, s["moves"]
-    return {"fold": lambda: ev.evaluate_scenarios(*e)}, ev.scenario_summary, s["scenarios"]
+        return {"cpu": lambda: plain.moves(*e), "gpu": lambda: ev.evaluate_moves(*e)}, ev.move_summary, s["moves"], runs
+    return {"cpu": lambda: ev.evaluate_scenarios(*e), "gpu": lambda: ev.folded_scenarios(*e)}, ev.scenario_summary, s["scenarios"], runs
+
+
+# Metadata names that analyses read, by the columns of the summaries.
+METADATA = {
+    "constraint_network": {n: f"{n}_violations" for n in ev.CONSTRAINTS} | {"zone": "forbidden_zone_violations"}, "combination_finder": {n: f"{n}_violations" for n in ev.COMBINATIONS},
+    "local_search_moves": {n: f"{n}_violations" for n in ev.MOVES}, "scenario_simulation": {"feasible_count": "feasible_scenarios", "infeasible_count": "infeasible_scenarios", "robustness": "robustness_score"},
+    "assignment_preprocessing": {n: f"{n}_violations" for n in ev.ASSIGNMENT} | {"feasible": "feasible_pair_count", "selected": "selected_candidate_count", "tasks_with_any": "tasks_with_any_candidate", "reduction_ratio": "candidate_reduction_ratio"},
+    "graph_connected_components": {"largest_component": "largest_component_size"},
+}
 
 
 def device(spark: SparkSession) -> str:
@@ -157,10 +199,19 @@ def device(spark: SparkSession) -> str:
 
 
 def run_one(spark: SparkSession, name: str, config: Config) -> list[dict]:
-    """A result row for each variant; every variant is compared with the first one, which is compared with a run of its own."""
+    """A result row for each variant, compared with a plan that shares no formula or no order of work with it."""
     s = sizes(name, config.preset, config.params)
-    plans, summed, units = variants(spark, name, s)
-    reference, rows = next(iter(plans.values())), []
+    plans, summed, units, runs = variants(spark, name, s)
+    rows, names, given = [], METADATA.get(name, {}), {k: v for k, v in s.items() if isinstance(v, int)} | {"units": units}
+    about = {}
+    if name == "combination_finder":
+        given["combinations"] = units
+    if "graph" in s:
+        edges, n = make_graph(spark, s)
+        degree = go.degree_stats(edges.select("src", "dst").distinct(), spark.range(n).select(F.col("id").alias("node"))).first()
+        kind, parameters = graph_parameters(s)
+        given |= {"nodes": n, "edges": degree["edge_count"]}
+        about = {"graph_kind": s["graph"], "shape": gr.shape(kind, **parameters), "mean_out_degree": f"{degree['mean_out_degree']:.6f}"}
     for variant, plan in plans.items():
         for _ in range(config.warmup):
             plan().write.format("noop").mode("overwrite").save()
@@ -168,13 +219,19 @@ def run_one(spark: SparkSession, name: str, config: Config) -> list[dict]:
         for _ in range(config.repeat):
             plan().write.format("noop").mode("overwrite").save()
         took = (time.perf_counter() - t) * 1000
-        check = validate(name, plan(), reference()).first()
-        stats = summed(plan())
-        found = {} if "code" in stats.columns else {k: str(v) for k, v in stats.first().asDict().items() if v is not None}
+        other = plans["gpu" if variant == "cpu" else "cpu"]
+        result = go.written(plan(), "result")
+        check = validate(name, result, other()).first()
+        stats = summed(result)
+        found = {} if "code" in stats.columns else {names.get(k, k): str(v) for k, v in stats.first().asDict().items() if v is not None}
+        if "mean_cost_milli" in found:
+            found["mean_selected_cost"] = f"{float(found['mean_cost_milli']) / 1000:.6f}"
+        ran = go.described(runs[variant]) if variant in runs else {}
+        wrong = check["mismatches"] + check["missing"]
         rows.append({
             "benchmark": name, "variant": variant, "preset": config.params.get("sweep_label", config.preset), "repeat": config.repeat, "warmup": config.warmup,
-            "input_size": {k: v for k, v in s.items() if isinstance(v, int)} | {"units": units}, "total_ms": took, "h2d_ms": 0.0, "kernel_ms": took, "d2h_ms": 0.0, "correct": bool(check["correct"]),
-            "device": device(spark), "notes": "", "metadata": found | {"mismatches": str(check["mismatches"]), "max_abs_error": f"{check['max_abs_error']:.6f}"} | ({"graph_kind": s["graph"]} if "graph" in s else {}),
+            "input_size": given, "total_ms": took, "h2d_ms": 0.0, "kernel_ms": took, "d2h_ms": 0.0, "correct": bool(check["correct"]),
+            "device": device(spark), "notes": "", "metadata": about | ran | found | {"mismatch_count": str(wrong), "max_abs_error": f"{check['max_abs_error']:.6f}"},
         })
     return rows
 
@@ -196,14 +253,32 @@ def sweep(spark: SparkSession, benchmark: str, points: list[dict[str, str]], con
     return [r for p in points for r in run(spark, Config(**(vars(config) | {"benchmark": benchmark, "params": config.params | p})))]
 
 
+def _points(label: str, names: tuple[str, ...], rows: list[tuple], **fixed: str) -> list[dict[str, str]]:
+    return [{"sweep_label": label.format(*r)} | fixed | dict(zip(names, map(str, r))) for r in rows]
+
+
+_LAYERED = ("layers", "nodes_per_layer", "fanout")
 # Sweeps by label and sizes.
 SWEEPS = {
-    "constraint_network": [{"sweep_label": f"c{n}", "tasks": "512", "resources": "256", "candidates": str(n)} for n in (4096, 16384, 65536, 262144, 1048576)],
-    "combination_finder": [{"sweep_label": f"n{n}_k{k}", "items": str(n), "k": str(k)} for k, ns in ((2, (128, 512, 2048)), (3, (64, 128, 256, 512)), (4, (32, 64, 96))) for n in ns],
-    "assignment_preprocessing": [{"sweep_label": f"a{n}", "tasks": str(n), "resources": str(n)} for n in (128, 256, 512, 1024, 2048)],
-    "local_search_moves": [{"sweep_label": f"m{n}", "moves": str(n)} for n in (4096, 16384, 65536, 262144, 1048576)],
-    "scenario_simulation": [{"sweep_label": f"s{n}", "scenarios": str(n)} for n in (4096, 16384, 65536, 262144, 1048576)],
-    "graph_bfs": [{"sweep_label": f"random_{n}", "graph": "random", "random_nodes": str(n), "random_out_degree": "8", "seed": "1337"} for n in (256, 4096, 16384, 65536, 262144, 1048576)],
-    "graph_connected_components": [{"sweep_label": f"mixed_{c}x{s}", "graph": "mixed", "components": str(c), "component_size": str(s)} for c, s in ((8, 64), (16, 128), (32, 256), (64, 1024))],
-    "graph_weighted_relaxation": [{"sweep_label": f"random_{n}_delta{d}", "graph": "random", "random_nodes": str(n), "delta": str(d)} for n in (1024, 16384) for d in (4, 16, 64)],
+    "constraint_network": _points("cn_{2}", ("tasks", "resources", "candidates"), [(64, 32, 4096), (128, 64, 16384), (256, 128, 65536), (384, 192, 131072), (512, 256, 262144), (1024, 512, 524288), (2048, 1024, 1048576), (4096, 1024, 2097152), (8192, 2048, 4194304)]),
+    "combination_finder": _points("comb_{0}_choose_{1}", ("items", "k"), [(64, 3), (128, 3), (192, 3), (256, 3), (384, 3), (128, 4), (512, 3), (192, 4)]),
+    "assignment_preprocessing": _points("ap_{0}x{1}", ("tasks", "resources", "top_k"), [(128, 256, 4), (512, 512, 8), (1024, 1024, 8), (2048, 2048, 8), (4096, 2048, 8), (4096, 4096, 8), (8192, 4096, 8)]),
+    "local_search_moves": _points("ls_{2}", ("tasks", "resources", "moves"), [(128, 256, 4096), (256, 512, 16384), (512, 1024, 65536), (1024, 1024, 262144), (2048, 2048, 1048576), (4096, 4096, 4194304)]),
+    "scenario_simulation": _points("sc_{2}", ("tasks", "resources", "scenarios"), [(32, 16, 4096), (32, 16, 16384), (64, 32, 65536), (64, 32, 262144), (128, 64, 1048576), (128, 64, 4194304)]),
+    "graph_bfs": [
+        *_points("chain_{0}", ("chain_nodes",), [(256,), (1024,), (4096,), (8192,), (16384,)], graph="chain"), *_points("grid_{0}x{1}", ("grid_width", "grid_height"), [(16, 16), (64, 64), (128, 128), (512, 512)], graph="grid"),
+        *_points("layered_{0}x{1}", _LAYERED, [(6, 16, 4), (8, 64, 4), (16, 256, 8), (32, 512, 8), (64, 4096, 8), (96, 8192, 8)], graph="layered"),
+        *_points("random_{0}", ("random_nodes",), [(256,), (4096,), (16384,), (65536,), (262144,), (1048576,)], graph="random", random_out_degree="8"),
+    ],
+    "graph_connected_components": [
+        *_points("chains_{0}x{1}", ("components", "component_size"), [(8, 64), (16, 128), (32, 256), (64, 512)], graph="chains"),
+        *_points("grids_{0}x{1}x{2}", ("components", "grid_width", "grid_height"), [(4, 16, 16), (8, 32, 32), (16, 64, 64), (24, 96, 96)], graph="grid_components"),
+        *_points("clusters_{0}x{1}", ("components", "component_size"), [(8, 128), (16, 256), (32, 512), (64, 1024)], graph="random_clusters"),
+        *_points("mixed_{0}x{1}", ("components", "component_size"), [(8, 128), (16, 256), (32, 512), (64, 1024)], graph="mixed"),
+    ],
+    "graph_weighted_relaxation": [
+        *_points("chain_{0}", ("chain_nodes",), [(256,), (1024,), (4096,)], graph="chain"), *_points("grid_{0}x{1}", ("grid_width", "grid_height"), [(16, 16), (64, 64), (128, 128)], graph="grid"),
+        *_points("layered_{0}x{1}", _LAYERED, [(8, 64, 4), (16, 256, 6), (32, 512, 6), (64, 2048, 8)], graph="layered"), *_points("random_{0}", ("random_nodes",), [(1024,), (16384,), (65536,)], graph="random"),
+        *_points("random_{0}_delta{1}", ("random_nodes", "delta"), [(n, d) for n in (1024, 16384) for d in (4, 16, 64)], graph="random"),
+    ],
 }

@@ -50,7 +50,7 @@ def compare(actual: DataFrame, reference: DataFrame, rule: Rule) -> DataFrame:
 
     def side(df: DataFrame, name: str) -> DataFrame:
         df = df if rule.key else df.withColumn("_one", F.lit(1))
-        return df.groupBy(*key).agg(F.struct(*[F.first(c).alias(c) for c in cols], F.count("*").alias("n")).alias(name))
+        return df.groupBy(*key).agg(F.struct(*[F.min(c).alias(c) for c in cols], F.count("*").alias("n")).alias(name))
 
     both = side(actual, "a").join(side(reference, "r"), list(key), "full_outer")
     missing = C("a").isNull() | C("r").isNull()

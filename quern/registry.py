@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern import oracles as sql
 from quern.functions.scalars import horner
+from quern.operators import blocks
 from quern.operators import evaluators as ev
 from quern.operators import graph as go
 from quern.sources import entities as en
@@ -300,6 +301,118 @@ for _method in ("frontier", "global", "delta"):
     query(sql.nearest(sql.weighted(sql.drawn("customer", 4, SEED))))(_paths(_method))
 
 
+def _part_paths(method: str):
+    def run(spark, sf_dir):
+        return go.shortest_paths(gr.weighted(gr.part_supplier(spark, sf_dir)), 0, method)[0]
+
+    run.__name__ = f"sssp_part_supplier_{method}"
+    return run
+
+
+for _method in ("frontier", "global", "delta", "light_heavy", "blocks"):
+    query(sql.nearest(sql.weighted(sql.PART_SUPPLIER)))(_part_paths(_method))
+
+
+@query(sql.path_stats(sql.weighted(sql.PART_SUPPLIER)))
+def path_stats_part_supplier(spark, sf_dir):
+    edges = gr.weighted(gr.part_supplier(spark, sf_dir))
+    return go.path_stats(go.with_unreached(go.shortest_paths(edges, 0, "blocks")[0], edges.select(F.col("src").alias("node")).distinct()))
+
+
+@query(sql.profile(sql.PART_SUPPLIER, sql.ends(sql.PART_SUPPLIER)))
+def bfs_profile_part_supplier(spark, sf_dir):
+    edges = gr.part_supplier(spark, sf_dir)
+    return go.bfs_profile(go.bfs(edges, 0, edges.select(F.col("src").alias("node")).distinct()), edges)
+
+
+# Part-supplier edges by the ranks of their parts and suppliers, as compressed rows number their nodes.
+
+
+def _ranked(t: Tables) -> tuple[DataFrame, int]:
+    parts, suppliers = t.size("part"), t.size("supplier")
+    own = t["lineitem"].select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + parts).cast("long").alias("dst"))
+    return own, parts + suppliers
+
+
+@query(sql.CSR_OFFSETS)
+def csr_offsets(spark, sf_dir):
+    return go.compressed(*_ranked(Tables(spark, sf_dir)))[0]
+
+
+@query(sql.CSR_EDGES)
+def csr_edges(spark, sf_dir):
+    return go.compressed(*_ranked(Tables(spark, sf_dir)))[1]
+
+
+@query(sql.CSR_DEGREES)
+def stored_degrees(spark, sf_dir):
+    """Degrees as blocks of compressed rows hold them; repeats count."""
+    return blocks.store(_ranked(Tables(spark, sf_dir))[0]).degrees()
+
+
+def _laid(edges):
+    """A graph whose components are known by formula, with its nodes."""
+
+    def run(spark, sf_dir):
+        t = Tables(spark, sf_dir)
+        e, n = edges(t)
+        return go.components(e, spark.range(n).select(F.col("id").alias("node")))
+
+    return run
+
+
+def _chains(t: Tables) -> tuple[DataFrame, int]:
+    n = t.size("supplier")
+    return gr.chain_components(t.spark, n, 9), 9 * n
+
+
+def _grids(t: Tables) -> tuple[DataFrame, int]:
+    n = t.size("supplier")
+    return gr.grid_components(t.spark, n, 4, 3), 12 * n
+
+
+def _clusters(t: Tables) -> tuple[DataFrame, int]:
+    n = t.size("supplier")
+    return gr.random_clusters(t.spark, n, 16, 3, SEED), 16 * n
+
+
+for _name, _edges, _size in (("components_chains", _chains, 9), ("components_grids", _grids, 12), ("components_clusters", _clusters, 16)):
+    _laid_query = _laid(_edges)
+    _laid_query.__name__ = _name
+    query(f"SELECT i AS node, i - i % {_size} AS label FROM (SELECT unnest(range({_size} * (SELECT count(*) FROM supplier))) AS i)")(_laid_query)
+
+
+@query(sql.COMPONENT_INDEX)
+def component_index(spark, sf_dir):
+    """Components of the part-supplier graph, numbered in the order of their smallest nodes."""
+    return gr.first_appearance(go.components(gr.part_supplier(spark, sf_dir)))
+
+
+@query(sql.labelled(sql.PART_SUPPLIER))
+def components_forest_part_supplier(spark, sf_dir):
+    return go.forest_components(gr.part_supplier(spark, sf_dir))
+
+
+@query(sql.labelled(sql.PART_SUPPLIER))
+def components_propagated_part_supplier(spark, sf_dir):
+    edges = gr.part_supplier(spark, sf_dir)
+    return go.propagated_components(edges, edges.select(F.col("src").alias("node")).distinct())[0]
+
+
+@query(sql.MOVE_HISTOGRAM)
+def move_histogram(spark, sf_dir):
+    return _bins(ev.histogram(local_search_moves(spark, sf_dir).where("valid"), "delta"))
+
+
+@query(sql.SCORE_HISTOGRAM)
+def score_histogram(spark, sf_dir):
+    return _bins(ev.histogram(scenario_cases(spark, sf_dir), "score"))
+
+
+def _bins(h: DataFrame) -> DataFrame:
+    return h.select("bin", "n")
+
+
 @query(sql.nearest(sql.weighted(sql.drawn("customer", 4, SEED))))
 def sssp_random_local(spark, sf_dir):
     return go.local_paths(gr.weighted(_random(Tables(spark, sf_dir))[0]), 0)

@@ -164,9 +164,17 @@ def make(spark: SparkSession, kind: str, **p) -> tuple[DataFrame, int]:
     return makers[kind]()
 
 
+# How a graph's parameters read, by kind; of single graphs, and of graphs with components.
+SHAPES = {"chain": "chain_nodes={nodes}", "grid": "grid={width}x{height}", "layered": "layers={layers}, nodes_per_layer={width}, fanout={fanout}", "random": "random_nodes={nodes}, out_degree={degree}, seed={seed}"}
+PARTED = {"grid_components": "components={components}, grid={width}x{height}", "clusters": "components={components}, component_size={size}, random_out_degree={degree}, seed={seed}"}
+
+
 def shape(kind: str, **p) -> str:
     """A graph's parameters as one line of text."""
-    return ", ".join([kind, *(f"{k}={v}" for k, v in sorted(p.items()))])
+    kind = NAMES.get(kind, kind)
+    if kind in SHAPES:
+        return SHAPES[kind].format(**p)
+    return PARTED.get(kind, "components={components}, component_size={size}").format(**p)
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:

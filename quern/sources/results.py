@@ -1,13 +1,15 @@
 """Result rows: their schema, readers of JSON lines and CSV, and writers of lines, tables, matrices and bundles.
 
-Readers take any path that Spark reads. Lines are numbered in file order, which first and last rows of a group follow.
+Readers take any path that Spark reads. Writers stamp every row with a sequence, so that rows keep the order in which they were made over any number of appends and
+part files; rows without it follow their file's time and their line. First and last rows of a group go by that order.
 """
 
 from __future__ import annotations
 
 import json
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import skill_names
@@ -21,14 +23,23 @@ RESULT_DDL = (
 FIELDS = [f.strip().split(" ")[0] for f in RESULT_DDL.replace("map<string,bigint>", "m").replace("map<string,string>", "m").split(",")]
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with ``file``, its time, and ``line``, from 1 in each file. Blank lines count."""
+    meta = [C("_metadata.file_path").alias("file"), C("_metadata.file_modification_time").alias("time"), C("_metadata.file_block_start").alias("_start")]
+    raw = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("_id"))
+    own = Window.partitionBy("file").orderBy("_start", "_id")  # within a block ids follow the lines
+    return raw.withColumn("line", F.row_number().over(own).cast("long")).drop("_start", "_id")
+
+
 def read_jsonl(spark: SparkSession, path: str, benchmark: str | None = None) -> DataFrame:
-    """Result rows with ``line``; blank lines are skipped, a bad line fails the job and is named."""
-    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), F.trim("value").alias("value")).where("value <> ''")
+    """Result rows with ``place``, by which they are ordered; blank lines are skipped, a bad line fails the job and is named."""
+    lines = _numbered(spark, path).withColumn("value", F.trim("value")).where("value <> ''")
     parsed = F.from_json("value", RESULT_DDL + ", bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-    rows = lines.select("line", "value", parsed.alias("r"))
-    error = F.raise_error(F.concat(F.lit("invalid result on line "), C("line").cast("string"), F.lit(": "), C("value")))
+    rows = lines.select("line", "file", "time", "value", parsed.alias("r"))
+    error = F.raise_error(F.concat(F.lit("invalid result on line "), C("line").cast("string"), F.lit(" of "), C("file"), F.lit(": "), C("value")))
     wrong = C("r").isNull() | C("r.bad").isNotNull() | C("r.benchmark").isNull()
-    rows = rows.select("line", F.when(wrong, error.cast("string")).otherwise(C("r.benchmark")).alias("benchmark"), *[C(f"r.{f}").alias(f) for f in FIELDS[1:]])
+    place = F.struct(F.coalesce(C("r.metadata")["sequence"], F.lit("")).alias("sequence"), "time", "file", "line").alias("place")
+    rows = rows.select(place, F.when(wrong, error.cast("string")).otherwise(C("r.benchmark")).alias("benchmark"), *[C(f"r.{f}").alias(f) for f in FIELDS[1:]])
     rows = rows.withColumns({"repeat": F.coalesce("repeat", F.lit(1)), "correct": F.coalesce("correct", F.lit(False)), "total_ms": F.coalesce("total_ms", F.lit(0.0))})
     return rows if benchmark is None else rows.where(C("benchmark") == benchmark)
 
@@ -39,9 +50,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, column, value) of a headerless wide matrix in one file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), "value").where("value <> ''")
-    cells = lines.select("row", F.posexplode(F.split("value", ",")).alias("column", "value"))
+    """(row, column, value) of a headerless wide matrix; files follow each other by name, as their writer numbers them."""
+    lines = _numbered(spark, path).where("value <> ''")
+    own = lines.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    sizes = own.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    cells = own.join(starts, "file").select((C("row") + C("before")).alias("row"), F.posexplode(F.split("value", ",")).alias("column", "value"))
     return cells.select("row", C("column").cast("long").alias("column"), C("value").cast("double").alias("value"))
 
 
@@ -56,8 +71,10 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = True) -> None:
 
 
 def result_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Result rows made on the driver, of which there are few."""
-    return spark.createDataFrame([tuple(r.get(f) for f in FIELDS) for r in rows], RESULT_DDL)
+    """Result rows made on the driver, of which there are few, each with its place in the order of all rows ever made."""
+    now = time.time_ns()
+    stamped = [r | {"metadata": {"sequence": f"{now:020d}-{k:06d}"} | (r.get("metadata") or {})} for k, r in enumerate(rows)]
+    return spark.createDataFrame([tuple(r.get(f) for f in FIELDS) for r in stamped], RESULT_DDL)
 
 
 def console(rows: DataFrame) -> str:
@@ -72,10 +89,11 @@ def console(rows: DataFrame) -> str:
 
 
 def wide(cells: DataFrame, row: str, column: str, value: Column, columns: int) -> DataFrame:
-    """A long matrix as one row of text for each row, ``columns`` values from column 0 on; its columns must fit a line."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(C(column).alias("c"), value.alias("v")))), lambda x: F.coalesce(x["v"].cast("string"), F.lit("nan")))
-    lines = cells.groupBy(row).agg(parts.alias("v")).where(F.size("v") == columns)
-    return lines.select(row, F.array_join("v", ",").alias("value")).orderBy(row).select("value")
+    """A long matrix as one line of text for each row, ``columns`` values from column 0 on; cells that a row lacks are nan. A row must fit a line."""
+    own = F.map_from_entries(F.collect_list(F.struct(C(column).cast("long").alias("c"), value.cast("string").alias("v"))))
+    lines = cells.groupBy(row).agg(own.alias("m"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(columns, 1) - 1).cast("long")), lambda c: F.coalesce(C("m")[c], F.lit("nan")))
+    return lines.select(row, F.array_join(each, ",").alias("value")).orderBy(row).select("value")
 
 
 def write_bundle(path: str, tables: dict[str, DataFrame], matrices: dict[str, DataFrame] | None = None, metadata: dict | None = None) -> None:
@@ -162,3 +180,15 @@ def markdown(rows: DataFrame) -> str:
     text = lambda x: "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x).replace("\n", " ").replace("|", "\\|")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in found])
+
+
+def write_analysis(path: str, rows: DataFrame, benchmark: str) -> DataFrame:
+    """The analysis of one workload as CSV, and as a Markdown report with all its rows, below ``path``; gives the analysis."""
+    from quern.plans import analytics
+
+    found = analytics.ANALYSES[benchmark](rows)
+    found.write.mode("overwrite").option("header", True).csv(f"{path}/{benchmark}_summary")
+    notes = "\n".join(f"* {x}" for x in analytics.bfs_diagnosis(found)) + "\n\n" if benchmark == "graph_bfs" else ""
+    text = f"# {benchmark}\n\n{notes}{markdown(found)}\n\n## Rows\n\n{markdown(analytics.report(rows.where(C('benchmark') == benchmark)))}\n"
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{benchmark}_report.md")
+    return found

@@ -134,4 +134,4 @@ def test_layouts(spark):
         assert gr.layout(n, kind, width=3, size=3).select("x", "y").distinct().count() == (3 if kind == "circle" else 6)
     with pytest.raises(ValueError):
         gr.layout(n, "spiral")
-    assert gr.shape("grid", width=2, height=3) == "grid, height=3, width=2"
+    assert gr.shape("grid", width=2, height=3) == "grid=2x3" and gr.shape("mixed", components=2, size=5) == "components=2, component_size=5"

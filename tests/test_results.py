@@ -47,11 +47,11 @@ def test_writer_appends_and_leaves_empty_metadata_out(spark, tmp_path):
     results.write_jsonl(frame, path)
     results.write_jsonl(frame, path)
     text = [r["value"] for r in spark.read.text(path).collect()]
-    assert len(text) == 2 and "metadata" not in json.loads(text[0]) and json.loads(text[0])["preset"] == 'q"\n'
+    assert len(text) == 2 and set(json.loads(text[0])["metadata"]) == {"sequence"} and json.loads(text[0])["preset"] == 'q"\n'
     assert results.read_jsonl(spark, path, "a").count() == 2
     results.write_jsonl(frame, path, append=False)
     assert results.read_jsonl(spark, path).count() == 1
-    assert "benchmark" in results.console(frame) and results.markdown(an.report(frame.withColumn("line", F.lit(1)))).count("\n") == 2
+    assert "benchmark" in results.console(frame) and results.markdown(an.report(frame.withColumn("place", F.lit(1)))).count("\n") == 2
 
 
 def one(df):
@@ -182,7 +182,7 @@ def test_command_line_runs(spark, tmp_path, capsys, monkeypatch):
     out = str(tmp_path / "rows")
     assert cli.main(["--benchmark", "graph_bfs", "--set", "graph=chain", "--set", "chain_nodes=6", "--set", "sweep_label=six", "--output", out], spark) == 0
     rows = results.read_jsonl(spark, out).collect()
-    assert {(r["variant"], r["preset"], r["correct"]) for r in rows} == {("rounds", "six", True), ("local", "six", True)}
+    assert {(r["variant"], r["preset"], r["correct"]) for r in rows} == {("cpu", "six", True), ("gpu", "six", True)}
     assert all(r["metadata"]["max_distance"] == "5" for r in rows)
     assert cli.main(["--benchmark", "nonsense"], spark) == 1 and "unknown benchmark" in capsys.readouterr().err
     assert cli.main(["--benchmark", "graph_bfs", "--preset", "huge"], spark) == 1
