@@ -114,6 +114,11 @@ class KneserNey:
         out[:, self.keys[a:b] % self.v] = [p[a:b] for p in self.pair]
         return out
 
+    def slim(self) -> KneserNey:
+        """Without what only ``probabilities`` needs."""
+        self.pair = self.rest = self.words = self.open = self.known = None
+        return self
+
     def pairs(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate(([self.v], ids[:-1])) * self.v + ids
 
@@ -186,8 +191,8 @@ def _document_frequency(docs: DataFrame, vocab, text: str = "text") -> dict[str,
         yield pd.DataFrame({"i": at, "n": n[at]})
 
     found = docs.select(F.col(text).alias("t")).mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    name = list(vocab.value)
-    return {name[r["i"]]: r["n"] for r in found.toPandas().to_dict("records")}
+    name, found = list(vocab.value), found.toPandas()
+    return {name[i]: n for i, n in zip(found["i"].tolist(), found["n"].tolist())}
 
 
 def fit(docs: DataFrame, labels: DataFrame):
@@ -226,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     part = sum(y) / len(y)
     # The sample's share of toxic rows differs from that of all labelled rows.
     weights[-1] += np.log(prior / (1 - prior)) - np.log(part / (1 - part))
-    return KneserNey(texts, y, shared, vocab), weights, prior
+    return KneserNey(texts, y, shared, vocab).slim(), weights, prior
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
