@@ -25,6 +25,7 @@ share of toxic rows (0 without labels). Repeated rows give repeated results; an
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -176,48 +177,52 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _document_frequency(docs: DataFrame, vocab, text: str = "text") -> dict[str, int]:
-    """In how many of all documents each word of the bounded vocabulary stands."""
+#: What a worker has unpacked last: the bytes and what they hold.
+_unpacked: tuple[bytes, object] = (b"", None)
+
+
+def _pack(thing) -> bytes:
+    return zlib.compress(pickle.dumps(thing, pickle.HIGHEST_PROTOCOL), 1)
+
+
+def _unpack(sent):
+    """What broadcast bytes hold, unpacked once a worker; the driver never unpacks them."""
+    global _unpacked
+    if _unpacked[0] is not sent.value:
+        _unpacked = (sent.value, pickle.loads(zlib.decompress(sent.value)))
+    return _unpacked[1]
+
+
+def _one(df: DataFrame, f) -> bytes:
+    """The bytes that ``f`` makes of all rows of a bounded table, in one task."""
+
+    def run(frames):
+        yield pd.DataFrame({"bytes": [f(pd.concat(list(frames)))]})
+
+    return df.coalesce(1).mapInPandas(run, "bytes binary").first()["bytes"]
+
+
+def _document_frequency(docs: DataFrame, vocab, text: str = "text") -> DataFrame:
+    """(i, n): in how many of all documents the i-th word of the bounded vocabulary stands."""
 
     def count(batches):
-        n = np.zeros(len(vocab.value), np.int64)
+        known = _unpack(vocab)
+        n = np.zeros(len(known), np.int64)
         for b in batches:
             for t in b["t"]:
                 for w in set(words(t)):
-                    i = vocab.value.get(w)
+                    i = known.get(w)
                     if i:
                         n[i - 1] += 1
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"i": at, "n": n[at]})
+        yield pd.DataFrame({"i": at + 1, "n": n[at]})
 
-    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    name, found = list(vocab.value), found.toPandas()
-    return {name[i]: n for i, n in zip(found["i"].tolist(), found["n"].tolist())}
+    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "i long, n long")
+    return written(found.groupBy("i").agg(F.sum("n").alias("n")), "frequencies")
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """(model, weights, prior) from labelled rows that are not held out; model None if a class is empty."""
-    spark = docs.sparkSession
-    train = labels.where(~held_out()).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
-    text = F.coalesce("text", F.lit(""))
-    prints = docs.select("doc_id", F.xxhash64(text).alias("h"), (F.length(text) <= SAMPLE_CHARS).alias("fits"))
-    # One row per distinct text and class; texts themselves are neither shuffled nor sorted.
-    distinct = prints.join(train, "doc_id").groupBy("y", "h", "fits").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    distinct = written(distinct, "train")
-    have = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    prior = have.get(1, 0) / max(1, sum(have.values()))
-    some = [distinct.where("fits").drop("n", "fits").where(F.col("y") == y).orderBy("h").limit(SAMPLE) for y in (0, 1)]
-    picked = F.broadcast(some[0].union(some[1]))  # at most 2 * SAMPLE rows of three numbers
-    found = docs.select("doc_id", text.alias("t"), F.xxhash64(text).alias("h")).join(picked, ["doc_id", "h"])
-    rows = sorted(found.groupBy("y", "h").agg(F.min("t").alias("t")).collect(), key=lambda r: (r["y"], r["h"]))
-    if len({r["y"] for r in rows}) < 2:
-        return None, None, prior
-    same: dict[str, str] = {}  # one object a word, or repeats fill the driver
-    texts, y = [[same.setdefault(w, w) for w in words(r["t"])] for r in rows], [r["y"] for r in rows]
-    vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    sent = spark.sparkContext.broadcast(vocab)
-    shared = _document_frequency(docs, sent)
-    sent.unpersist()
+def learnt(texts: list[list[str]], y: list[int], shared: dict[str, int], vocab: dict[str, int], prior: float) -> tuple[KneserNey, np.ndarray, float]:
+    """The model of all texts and the curve's weights, from ratios of models that have not met the text."""
     # Copies fall into one fold, so that no text is scored by a model that has met it.
     fold = [zlib.crc32(" ".join(t[:8]).encode()) % 2 for t in texts]
     x = np.zeros((len(texts), 2))
@@ -234,13 +239,54 @@ def fit(docs: DataFrame, labels: DataFrame):
     return KneserNey(texts, y, shared, vocab).slim(), weights, prior
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> bytes:
+    """Packed (model, weights, prior) from labelled rows that are not held out; model None if a class is empty. The bounded sample is fitted in one task."""
+    spark = docs.sparkSession
+    train = labels.where(~held_out()).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    text = F.coalesce("text", F.lit(""))
+    prints = docs.select("doc_id", F.xxhash64(text).alias("h"), (F.length(text) <= SAMPLE_CHARS).alias("fits"))
+    # One row per distinct text and class; texts themselves are neither shuffled nor sorted.
+    distinct = prints.join(train, "doc_id").groupBy("y", "h", "fits").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    distinct = written(distinct, "train")
+    have = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    prior = have.get(1, 0) / max(1, sum(have.values()))
+    some = [distinct.where("fits").drop("n", "fits").where(F.col("y") == y).orderBy("h").limit(SAMPLE) for y in (0, 1)]
+    picked = F.broadcast(some[0].union(some[1]))  # at most 2 * SAMPLE rows of three numbers
+    found = docs.select("doc_id", text.alias("t"), F.xxhash64(text).alias("h")).join(picked, ["doc_id", "h"])
+    sample = written(found.groupBy("y", "h").agg(F.min("t").alias("t")).select("y", "t"), "sample")
+    if sample.select("y").distinct().count() < 2:
+        return _pack((None, None, prior))
+
+    def read(rows: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
+        rows = rows[rows["t"].notna()].sort_values(["y", "t"])
+        same: dict[str, str] = {}  # one object a word, or repeats fill the memory
+        return [[same.setdefault(w, w) for w in words(t)] for t in rows["t"]], rows["y"].astype(int).tolist()
+
+    def numbered(rows: pd.DataFrame) -> bytes:
+        return _pack({w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in read(rows)[0] for w in t))})
+
+    sent = spark.sparkContext.broadcast(_one(sample, numbered))
+    shared = _document_frequency(docs, sent)
+
+    def learn(rows: pd.DataFrame) -> bytes:
+        vocab = _unpack(sent)
+        name = [None, *vocab]
+        often = rows[rows["i"].notna()]
+        counts = {name[int(i)]: int(n) for i, n in zip(often["i"], often["n"])}
+        return _pack(learnt(*read(rows), counts, vocab, prior))
+
+    found = _one(sample.unionByName(shared, allowMissingColumns=True), learn)
+    sent.unpersist()
+    return found
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf(struct("score double, predicted int"))
     def go(texts: pd.Series) -> pd.DataFrame:
-        m, weights, prior = model.value
+        m, weights, prior = _unpack(model)
         s = np.full(len(texts), float(prior))
         if m and len(texts):
             x = np.array([m.features(words(t)) for t in texts])
