@@ -31,7 +31,7 @@ LEAST = 4096
 MARKS = 1 << 26
 DEGREE = 16
 #: Candidates of a new node, links kept open while it is inserted, and nodes up to which a layer is linked by products.
-CANDIDATES, OPEN, SMALL = 64, 96, 4096
+CANDIDATES, OPEN, SMALL = 64, 96, 16384
 #: Links kept open in a query's search: SEARCH at least, doubled until PROBES nodes of the shard find RECALL of their nearest.
 SEARCH, PROBES, RECALL = 128, 128, 0.95
 WIDTH = 16
