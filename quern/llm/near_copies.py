@@ -35,7 +35,6 @@ from quern.llm.common import TYPES, written
 from quern.llm.components import connected_components
 from quern.llm.simhash import LOWER, PAIR_LIMIT
 from quern.operators.graph import forest
-from quern.plans.tables import BROADCAST_KEYS
 
 SHINGLE = 5
 #: Links have a Jaccard similarity of at least 4/5.
@@ -43,6 +42,8 @@ NUM, DEN = 4, 5
 #: One text of so many is counted to find common shingles; the commonest COMMON of them sort last.
 PART, COMMON = 16, 200_000
 ROUNDS = 3
+#: Up to so many rows are broadcast, and so many links go to one task.
+BROADCAST_KEYS = 200_000
 BITS = 1024
 #: Members that are compared with a whole shingle, in the first of the last rounds; eight times as many in each further one.
 CENTERS = 64

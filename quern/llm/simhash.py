@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import TYPES, split_join, table, written
+from quern.llm.common import TYPES, merged, split_join, table, written
 from quern.llm.components import connected_components
 
 TAU = 4
@@ -137,11 +137,11 @@ def links(nodes: DataFrame, segments: int = 7) -> DataFrame:
     ring = Ring(segments)
     keyed = nodes.select("fp", F.explode(ring.keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(shared, "key"), "keys")
+    met = written(keyed.join(merged(shared), "key"), "keys")
     cold = met.where(F.col("n") <= PAIR_LIMIT)
     a, b = cold.select("key", F.col("fp").alias("u")), cold.select("key", F.col("fp").alias("v"))
     diff = F.col("u").bitwiseXOR(F.col("v"))
-    pairs = a.join(b, "key").where("u < v").where(ring.chain(diff, F.col("key"))).where(F.bit_count(diff) <= TAU)
+    pairs = a.join(merged(b), "key").where("u < v").where(ring.chain(diff, F.col("key"))).where(F.bit_count(diff) <= TAU)
     hot = met.where(F.col("n") > PAIR_LIMIT).select("fp").distinct()
     star = (
         hot.mapInPandas(_midpoints, "mid long, fp long").groupBy("mid").agg(F.collect_set("fp").alias("fps"))
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
     size = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     found = connected_components(links(nodes.select("fp"), 7 if size["nodes"] < SEGMENTS_8 else 8))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = nodes.join(merged(found.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = written(named, "named")
     low = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
     names = split_join(named, low, "component", "members", size["nodes"]).select("fp", "n", "component_id")
