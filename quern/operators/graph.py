@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import six
 from quern.operators import blocks
 from quern.operators.components import connected_components
-from quern.plans.tables import appended, named_path, written
+from quern.plans.tables import appended, merged, named_path, split_join, written
 from quern.sources.entities import offsets
 
 C = F.col
@@ -221,11 +221,14 @@ def propagated_components(edges: DataFrame, nodes: DataFrame, max_rounds: int |
     """
     edges = written(edges.select("src", "dst").union(edges.select(C("dst").alias("src"), C("src").alias("dst"))).distinct(), "edges")
     labels, run, m = written(nodes.select("node", C("node").alias("label")), "labels"), Run(), edges.count()
+    total = labels.count()
     while not run.converged and (max_rounds is None or run.iterations < max_rounds):
-        near = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("label", "near").alias("low"), C("label").alias("old"))
-        up = labels.select(C("node").alias("low"), C("label").alias("jump"))
-        new = written(low.join(up, "low", "left").select("node", F.least("low", "jump").alias("label"), "old"), "labels")
+        near = edges.join(merged(labels), edges["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
+        low = labels.join(merged(near), labels["node"] == near["src"], "left").select("node", F.least("label", "near").alias("low"), C("label").alias("old"))
+        low = written(low, "low")
+        # Most nodes share a few labels at last, so those of many nodes are broadcast, and all others merged.
+        up = merged(labels.select(C("node").alias("low"), C("label").alias("jump"))).join(low.groupBy("low").agg(F.count("*").alias("n")), "low")
+        new = written(split_join(low, up, "low", "n", total).select("node", F.least("low", "jump").alias("label"), "old"), "labels")
         run.iterations, run.edge_iterations = run.iterations + 1, run.edge_iterations + m
         run.converged = new.where("label <> old").isEmpty()
         labels = new.select("node", "label")
