@@ -20,6 +20,8 @@ from quern.plans.tables import BROADCAST_KEYS, named_path, written
 
 C = F.col
 BLOCK = 1 << 18
+#: A row has several MB. Parquet looks at its buffers every hundred rows only, and readers take a whole row group at once, so groups have few rows.
+FILES = {"parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 ROWS = "block long, first long, last long, m int, src binary, degree binary, dst binary, weight binary"
 _ROWS = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("m", pa.int32()), ("src", pa.binary()), ("degree", pa.binary()), ("dst", pa.binary()), ("weight", pa.binary())])
 
@@ -43,17 +45,23 @@ class Blocks:
         return self.rows.mapInArrow(_edges, "src long, dst long, weight long")
 
 
-def _degrees(batches):
+def _one(batches):
+    """Row by row: a batch of blocks is never held a second time as Python objects."""
     for b in batches:
-        for src, degree in zip(b["src"].to_pylist(), b["degree"].to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(src, np.int64)), pa.array(np.frombuffer(degree, np.int32).astype(np.int64))], ["node", "degree"])
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _degrees(batches):
+    for r in _one(batches):
+        src, degree = r["src"], r["degree"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(src, np.int64)), pa.array(np.frombuffer(degree, np.int32).astype(np.int64))], ["node", "degree"])
 
 
 def _edges(batches):
-    for b in batches:
-        for r in b.to_pylist():
-            src = np.repeat(np.frombuffer(r["src"], np.int64), np.frombuffer(r["degree"], np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(src), *(pa.array(np.frombuffer(r[c], np.int64)) for c in ("dst", "weight"))], ["src", "dst", "weight"])
+    for r in _one(batches):
+        src = np.repeat(np.frombuffer(r["src"], np.int64), np.frombuffer(r["degree"], np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(src), *(pa.array(np.frombuffer(r[c], np.int64)) for c in ("dst", "weight"))], ["src", "dst", "weight"])
 
 
 def store(edges: DataFrame, block: int = BLOCK) -> Blocks:
@@ -81,7 +89,7 @@ def store(edges: DataFrame, block: int = BLOCK) -> Blocks:
             yield row(np.concatenate(held, axis=1))
 
     e = edges.select(C("src").cast("long").alias("src"), C("dst").cast("long").alias("dst"), weight.alias("weight"))
-    rows = written(e.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").mapInArrow(cut, ROWS), "blocks")
+    rows = written(e.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").mapInArrow(cut, ROWS), "blocks", **FILES)
     ends = rows.select("block", "first", "last").orderBy("block").collect()
     no, first, last = (np.array([r[c] for r in ends], np.int64) for c in ("block", "first", "last"))
     if (first[1:] < last[:-1]).any():
@@ -144,21 +152,20 @@ def distances(blocks: Blocks, source: int, run=None, max_rounds: int | None = No
 
     def walk(round_: int):
         def go(batches):
-            for b in batches:
-                for r in b.to_pylist():
-                    src = np.frombuffer(r["src"], np.int64)
-                    best = np.frombuffer(r["best"], np.int64).tolist() if r["best"] else [FAR] * len(src)
-                    offset = np.concatenate(([0], np.cumsum(np.frombuffer(r["degree"], np.int32)))).tolist()
-                    names = src.tolist()
-                    given = dict(zip((m["node"] for m in r["given"]), (m["distance"] for m in r["given"])))
-                    shared = twice & {names[0], names[-1]}
-                    sent, relaxed, visits = settle(names, offset, np.frombuffer(r["dst"], np.int64).tolist(), np.frombuffer(r["weight"], np.int64).tolist(), best, given, shared)
-                    to, nodes, far = routed(np.array(list(sent), np.int64), np.array(list(sent.values()), np.int64))
-                    own = {t for t in sent if t in shared}
-                    keep = [i for i, t in enumerate(to) if t != r["block"] or nodes[i] not in own]  # a node that is no source is told all the same
-                    out = {"block": r["block"], "round": round_, "best": np.array(best, np.int64).tobytes(), "relaxed": relaxed, "visits": visits}
-                    out |= {"blocks": [to[i] if to[i] != r["block"] else -1 for i in keep], "nodes": [nodes[i] for i in keep], "distances": [far[i] for i in keep]}
-                    yield pa.RecordBatch.from_pylist([out], schema=_SENT)
+            for r in _one(batches):
+                src = np.frombuffer(r["src"], np.int64)
+                best = np.frombuffer(r["best"], np.int64).tolist() if r["best"] else [FAR] * len(src)
+                offset = np.concatenate(([0], np.cumsum(np.frombuffer(r["degree"], np.int32)))).tolist()
+                names = src.tolist()
+                given = dict(zip((m["node"] for m in r["given"]), (m["distance"] for m in r["given"])))
+                shared = twice & {names[0], names[-1]}
+                sent, relaxed, visits = settle(names, offset, np.frombuffer(r["dst"], np.int64).tolist(), np.frombuffer(r["weight"], np.int64).tolist(), best, given, shared)
+                to, nodes, far = routed(np.array(list(sent), np.int64), np.array(list(sent.values()), np.int64))
+                own = {t for t in sent if t in shared}
+                keep = [i for i, t in enumerate(to) if t != r["block"] or nodes[i] not in own]  # a node that is no source is told all the same
+                out = {"block": r["block"], "round": round_, "best": np.array(best, np.int64).tobytes(), "relaxed": relaxed, "visits": visits}
+                out |= {"blocks": [to[i] if to[i] != r["block"] else -1 for i in keep], "nodes": [nodes[i] for i in keep], "distances": [far[i] for i in keep]}
+                yield pa.RecordBatch.from_pylist([out], schema=_SENT)
 
         return go
 
@@ -183,7 +190,7 @@ def distances(blocks: Blocks, source: int, run=None, max_rounds: int | None = No
         state = log.parquet(path).where(C("round").isin(sorted({latest[b] for b in active if b in latest}) or [-1])).join(F.broadcast(state), ["block", "round"]).select("block", "best")
         now = blocks.rows.where(C("block").isin(list(active))) if len(active) <= 1000 else blocks.rows
         now = now.join(F.broadcast(given) if small else given, "block").join(state, "block", "left")
-        now.mapInArrow(walk(round_), _OUT).write.mode("append").partitionBy("round").parquet(path)
+        now.mapInArrow(walk(round_), _OUT).write.options(**FILES).mode("append").partitionBy("round").parquet(path)
         latest |= dict.fromkeys(active, round_)
         if run:
             run.iterations, run.max_frontier = round_, max(run.max_frontier, sum(active.values()))
@@ -193,11 +200,10 @@ def distances(blocks: Blocks, source: int, run=None, max_rounds: int | None = No
         run.edge_iterations, run.active_visits = whole.agg(F.sum("relaxed"), F.sum("visits")).first()
 
     def states(batches):
-        for b in batches:
-            for src, best in zip(b["src"].to_pylist(), b["best"].to_pylist()):
-                d = np.frombuffer(best, np.int64)
-                ok = d < FAR
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(src, np.int64)[ok]), pa.array(d[ok])], ["node", "distance"])
+        for r in _one(batches):
+            d = np.frombuffer(r["best"], np.int64)
+            ok = d < FAR
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["src"], np.int64)[ok]), pa.array(d[ok])], ["node", "distance"])
 
     last_rounds = F.broadcast(spark.createDataFrame(list(latest.items()), "block long, round int"))
     held = blocks.rows.select("block", "src").join(whole.join(last_rounds, ["block", "round"]).select("block", "best"), "block").select("src", "best")
