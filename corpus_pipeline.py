@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-copy group stays: five words a shingle, Jaccard similarity 0.8 or more, transitively.
 
-    It is the row with the smallest doc_id, a row without doc_id only where the group has no other. The links are
-    exact; op2's SimHash budget of 4 bits would miss nearly all edited copies at 0.8.
+    It is the row with the smallest doc_id, a row without doc_id only where the group has no other. SimHash fingerprints link first, by
+    op2's pigeonring filtering, and their pairs are confirmed; what its budget of 4 bits misses is found by an exact way between the groups it leaves.
     """
     docs = docs.select(*COLUMNS)
     # Nulls and values are written apart, each value with its length.

@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints, confirmed by the exact Jaccard similarity of word shingles, and an exact way for what they miss.
 
-Two texts link if the Jaccard similarity of their shingle sets is at least 0.8. Links are
+Two texts link if the Jaccard similarity of their shingle sets is at least 0.8. First the sets' SimHash fingerprints are linked by
+pigeonring filtering, as in ``simhash``; pairs within its four bits are confirmed by their sets and make the first components. At a similarity of 0.8 fingerprints
+differ in more bits than any selective key allows, so texts of different components meet once more. That way is
 exact: shingles are sorted by one fixed order, rarest first, and of two sets that
 similar the shorter prefixes (a fifth of each set and one) share a shingle; the first
 one they share also leaves room for the overlap that 0.8 needs. Each set also has a bitmap, in which every shingle
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import TYPES, written
+from quern.llm import simhash
+from quern.llm.common import TYPES, drop_written, merged, split_join, written
 from quern.llm.components import connected_components
 from quern.llm.simhash import LOWER, PAIR_LIMIT
 from quern.operators.graph import forest
@@ -41,14 +44,14 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: One text of so many is counted to find common shingles; the commonest COMMON of them sort last.
 PART, COMMON = 16, 200_000
-ROUNDS = 3
+ROUNDS = 2
 #: Up to so many rows are broadcast, and so many links go to one task.
 BROADCAST_KEYS = 200_000
 BITS = 1024
 #: Members that are compared with a whole shingle, in the first of the last rounds; eight times as many in each further one.
 CENTERS = 64
 LONGS = T.ArrayType(T.LongType())
-PRINT = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", LONGS), T.StructField("bitmap", LONGS)])
+PRINT = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", LONGS), T.StructField("bitmap", LONGS), T.StructField("fp", T.LongType())])
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -78,6 +81,12 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def fingerprint(x: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number."""
+    total = sum((simhash.ones(x[k : k + simhash.BLOCK]) for k in range(0, len(x), simhash.BLOCK)), np.zeros(64, np.int64))
+    return int(np.uint64(simhash.majority(total, len(x))).astype(np.int64))
+
+
 def _common(docs: DataFrame, text: str) -> np.ndarray:
     """The commonest shingles of the counted part and their counts, as two rows."""
 
@@ -91,7 +100,7 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _prints(common):
-    """Name of the set, size, prefix and bitmap of each text."""
+    """Name of the set, size, prefix, bitmap and fingerprint of each text."""
 
     @F.pandas_udf(PRINT)
     def go(texts: pd.Series) -> pd.DataFrame:
@@ -106,8 +115,8 @@ def _prints(common):
                 at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                 count = np.where(keys[at] == x, counts[at], 0)
             size = len(x) - -(-NUM * len(x) // DEN) + 1 if len(x) else 0
-            rows.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), x[np.lexsort((x, count))[:size]].view(np.int64), bitmap(x)))
-        return pd.DataFrame(rows, columns=["print", "size", "prefix", "bitmap"])
+            rows.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), x[np.lexsort((x, count))[:size]].view(np.int64), bitmap(x), fingerprint(x)))
+        return pd.DataFrame(rows, columns=["print", "size", "prefix", "bitmap", "fp"])
 
     return go
 
@@ -145,6 +154,17 @@ def _pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
+def _fingerprinted(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (u, v) that connect all nodes whose fingerprints are linked: the smallest of a fingerprint with each other, and with those of linked fingerprints."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")), "fingerprints")
+    size = prints.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes")).first()
+    alike = split_join(nodes.select("fp", "node"), prints, "fp", "n", size["nodes"]).select(F.col("low").alias("u"), F.col("node").alias("v"))
+    met = simhash.links(prints.select("fp"), 7 if size["prints"] < simhash.SEGMENTS_8 else 8)
+    a, b = prints.select(F.col("fp").alias("u"), F.col("low").alias("x")), prints.select(F.col("fp").alias("v"), F.col("low").alias("y"))
+    linked = met.join(merged(a), "u").join(merged(b), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return alike.where("u <> v").union(linked)
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose bitmaps are close; two joins of a few numbers a pair save those of whole texts."""
     n = nodes.select("node", "size", "bitmap")
@@ -199,20 +219,28 @@ def near_components(docs: DataFrame, row: str = "row", text: str = "text") -> Da
     found_common = _common(docs, text)
     common = spark.sparkContext.broadcast(found_common)
     prints = written(docs.select(F.col(row).alias("row"), _prints(common)(F.col(text)).alias("p")).select("row", "p.*"), "prints")
-    one = F.min(F.struct("row", "size", "prefix", "bitmap")).alias("m")
+    one = F.min(F.struct("row", "size", "prefix", "bitmap", "fp")).alias("m")
     nodes = written(prints.groupBy("print").agg(one).select("print", "m.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    every = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+
+    def whole(need: DataFrame) -> DataFrame:
+        rows = written(nodes.select("node", "row").join(need.distinct(), "node"), "rows")
+        # Equal rows share a row name; any of them has the node's set.
+        texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(_few(rows), "row")
+        return written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    pairs = written(_filtered(_fingerprinted(nodes), nodes), "pairs")
+    texts = whole(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    links = _confirmed(pairs, texts)
+    drop_written(texts)
+    own = F.coalesce("component", "node").alias("component")
+    every = nodes.join(_few(_components(links)), "node", "left").select("node", "size", own, F.posexplode("prefix").alias("at", "key"))
     met = written(_counted(every, found_common), "keys")
     cold = met.where(F.col("n") <= PAIR_LIMIT)
-    bitmaps = nodes.select("node", "bitmap")
-    hot = written(met.where(F.col("n") > PAIR_LIMIT).join(bitmaps, "node"), "hot")
-    pairs = written(_filtered(_pairs(cold, cold, F.col("a.node") < F.col("b.node")), nodes), "pairs")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(hot.select("node")).distinct()
-    rows = written(nodes.select("node", "row").join(need, "node"), "rows")
-    # Equal rows share a row name; any of them has the node's set.
-    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(_few(rows), "row")
-    texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    links, done, r, size = _confirmed(pairs, texts), None, 0, CENTERS
+    hot = written(met.where(F.col("n") > PAIR_LIMIT).drop("component").join(nodes.select("node", "bitmap"), "node"), "hot")
+    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    pairs = written(_filtered(_pairs(cold, cold, apart), nodes), "pairs")
+    texts = whole(pairs.select(F.explode(F.array("u", "v")).alias("node")).union(hot.select("node")))
+    links, done, r, size = links.union(_confirmed(pairs, texts)), None, 0, CENTERS
     while True:
         found = _components(links)
         named = hot.join(_few(found), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -43,6 +43,16 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 16
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, the hashes that have it."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have."""
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Unsigned SimHash of one text: A-Z lowered, ASCII white space splits."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -57,8 +67,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     for k in range(0, n, BLOCK):
         ends = last[k : k + BLOCK].tolist()
         h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first[k : k + len(ends)].tolist(), ends)), np.uint64, len(ends))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+        total += ones(h)
+    return majority(total, n)
 
 
 def _udf(shingle: int):
