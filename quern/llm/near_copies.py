@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import simhash
-from quern.llm.common import TYPES, drop_written, merged, split_join, written
+from quern.llm.common import TYPES, arrow_batches, drop_written, merged, split_join, written
 from quern.llm.components import connected_components
 from quern.llm.simhash import LOWER, PAIR_LIMIT
 from quern.operators.graph import forest
@@ -50,6 +50,10 @@ BROADCAST_KEYS = 200_000
 BITS = 1024
 #: Members that are compared with a whole shingle, in the first of the last rounds; eight times as many in each further one.
 CENTERS = 64
+#: Fingerprints whose keys one task makes; their file is so small that one task would read most of it, and a fingerprint has 35 keys or more.
+PRINTS_A_TASK = 8192
+#: Rows that go to Python at once; they are whole texts, or two of them a pair.
+BATCH = 500
 LONGS = T.ArrayType(T.LongType())
 PRINT = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", LONGS), T.StructField("bitmap", LONGS), T.StructField("fp", T.LongType())])
 
@@ -154,12 +158,17 @@ def _pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
+def _spread(prints: DataFrame, n: int) -> DataFrame:
+    """The ``n`` distinct fingerprints of ``prints`` in parts of some PRINTS_A_TASK."""
+    return prints.select("fp").repartition(max(1, -(-n // PRINTS_A_TASK)), "fp")
+
+
 def _fingerprinted(nodes: DataFrame) -> DataFrame:
     """Pairs of nodes (u, v) that connect all nodes whose fingerprints are linked: the smallest of a fingerprint with each other, and with those of linked fingerprints."""
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")), "fingerprints")
     size = prints.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes")).first()
     alike = split_join(nodes.select("fp", "node"), prints, "fp", "n", size["nodes"]).select(F.col("low").alias("u"), F.col("node").alias("v"))
-    met = simhash.links(prints.select("fp"), 7 if size["prints"] < simhash.SEGMENTS_8 else 8)
+    met = simhash.links(_spread(prints, size["prints"]), 7 if size["prints"] < simhash.SEGMENTS_8 else 8)
     a, b = prints.select(F.col("fp").alias("u"), F.col("low").alias("x")), prints.select(F.col("fp").alias("v"), F.col("low").alias("y"))
     linked = met.join(merged(a), "u").join(merged(b), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     return alike.where("u <> v").union(linked)
@@ -215,6 +224,11 @@ def _stars(named: DataFrame, r: int) -> DataFrame:
 
 def near_components(docs: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
     """(row, component) of every row of ``docs``; ``row`` names equal rows by 128 bits."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _found(docs, row, text)
+
+
+def _found(docs: DataFrame, row: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     found_common = _common(docs, text)
     common = spark.sparkContext.broadcast(found_common)
