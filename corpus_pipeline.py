@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encode_documents
-from quern.llm.common import table, written
+from quern.llm.common import scratch, table, written
 from quern.llm.mixing import replicate, shuffled
 from quern.llm.near_copies import near_components
 from quern.llm.secrets import redact
@@ -35,9 +35,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Nulls and values are written apart, each value with its length.
     texts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("n")) for c in COLUMNS]
     row = F.unhex(F.md5(F.concat(*texts)))
-    named = near_components(docs.withColumn("row", row)).join(docs.select("doc_id", row.alias("row")).distinct(), "row")
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("m")
-    kept = written(named.groupBy("component").agg(best).select("m.row"), "kept")
+    with scratch(spark) as keep:
+        named = near_components(docs.withColumn("row", row)).join(docs.select("doc_id", row.alias("row")).distinct(), "row")
+        kept = keep(written(named.groupBy("component").agg(best).select("m.row"), "kept"))
     return docs.withColumn("row", row).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 

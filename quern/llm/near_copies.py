@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import simhash
-from quern.llm.common import TYPES, arrow_batches, drop_written, merged, split_join, written
+from quern.llm.common import TYPES, arrow_batches, drop_written, merged, scratch, split_join, written
 from quern.llm.components import connected_components
 from quern.llm.simhash import LOWER, PAIR_LIMIT
 from quern.operators.graph import forest
@@ -187,6 +187,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(a, "u").join(b, "v").where(_similar("x", "y")).select("u", "v"), "links")
 
 
+def _of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(node, component) of linked nodes; the smallest node itself may be missing. Few links go to one task, others meet in stars."""
     if links.count() <= BROADCAST_KEYS:
@@ -222,6 +226,22 @@ def _stars(named: DataFrame, r: int) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
+def _open(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of shingles that still have something to compare, by their components now.
+
+    ``rest`` marks members that are neither done nor in the largest component of their shingle, ``left`` counts them. A shingle without any is settled for good:
+    members that are done were compared with all others, the others share one component and keep sharing one.
+    """
+    now = hot.select("key", "node", "at", "size", "bitmap", "done").join(_few(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = written(now, "members")
+    parts = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.count_if(~F.col("done")).alias("undone"))
+    most = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.sum("undone").alias("undone"), F.max_by("undone", F.struct("c", "component")).alias("in_most"))
+    most = most.select("key", "most", (F.col("undone") - F.col("in_most")).alias("left")).where("left > 0")
+    out = written(now.join(_few(written(most, "most")), "key").withColumn("rest", ~F.col("done") & (F.col("component") != F.col("most"))).drop("most"), "hot")
+    drop_written(now)
+    return out
+
+
 def near_components(docs: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
     """(row, component) of every row of ``docs``; ``row`` names equal rows by 128 bits."""
     with arrow_batches(docs.sparkSession, BATCH):
@@ -242,40 +262,38 @@ def _found(docs: DataFrame, row: str, text: str) -> DataFrame:
         texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(_few(rows), "row")
         return written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    pairs = written(_filtered(_fingerprinted(nodes), nodes), "pairs")
-    texts = whole(pairs.select(F.explode(F.array("u", "v")).alias("node")))
-    links = _confirmed(pairs, texts)
-    drop_written(texts)
+    with scratch(spark) as keep:
+        pairs = written(_filtered(_fingerprinted(nodes), nodes), "pairs")
+        links = keep(_confirmed(pairs, whole(_of(pairs))))
     own = F.coalesce("component", "node").alias("component")
-    every = nodes.join(_few(_components(links)), "node", "left").select("node", "size", own, F.posexplode("prefix").alias("at", "key"))
-    met = written(_counted(every, found_common), "keys")
-    cold = met.where(F.col("n") <= PAIR_LIMIT)
-    hot = written(met.where(F.col("n") > PAIR_LIMIT).drop("component").join(nodes.select("node", "bitmap"), "node"), "hot")
-    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    pairs = written(_filtered(_pairs(cold, cold, apart), nodes), "pairs")
-    texts = whole(pairs.select(F.explode(F.array("u", "v")).alias("node")).union(hot.select("node")))
-    links, done, r, size = links.union(_confirmed(pairs, texts)), None, 0, CENTERS
+    with scratch(spark) as keep:
+        every = nodes.join(_few(_components(links)), "node", "left").select("node", "size", own, F.posexplode("prefix").alias("at", "key"))
+        met = written(_counted(every, found_common), "keys")
+        cold = met.where(F.col("n") <= PAIR_LIMIT)
+        hot = met.where(F.col("n") > PAIR_LIMIT).drop("component", "n").join(nodes.select("node", "bitmap"), "node")
+        hot = keep(written(hot.withColumn("done", F.lit(False)), "hot"))
+        apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+        pairs = written(_filtered(_pairs(cold, cold, apart), nodes), "pairs")
+        links = links.union(keep(_confirmed(pairs, whole(_of(pairs)))))
+    found, texts, r, size = _components(links), None, 0, CENTERS
     while True:
-        found = _components(links)
-        named = hot.join(_few(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if r < ROUNDS:
-            if hot.isEmpty():
-                break
-            links, r = links.union(_confirmed(_stars(written(named, "hot"), r), texts)), r + 1
-            continue
-        named = named.join(done, ["key", "node"], "left") if done else named.withColumn("done", F.lit(None).cast("boolean"))
-        named = written(named, "hot")
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-        most = parts.groupBy("key").agg(F.max_by("component", "c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        rest = named.where("done is null").join(_few(most), "key").where("component <> most")
-        left = written(rest.groupBy("key").agg(F.count("*").alias("left")), "rest")
-        if left.isEmpty():
+        members, old = _open(hot, found), hot if r == 0 else members
+        drop_written(old)
+        if members.isEmpty():
             break
-        part = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        few = written(rest.join(_few(left), "key").where(part * F.col("left") <= size).drop("most", "parts", "left"), "centers")
-        more = _pairs(_few(few, BROADCAST_KEYS // 4), named, (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
-        links = links.union(_confirmed(more, texts))
-        own = few.select("key", "node", F.lit(True).alias("done"))
-        done = written(done.union(own) if done else own, "done")
-        r, size = r + 1, size * 8
+        # What is settled later needs no text, so those of the first round do for all; a round shuffles only those of its pairs.
+        texts = texts or whole(members.select("node"))
+        with scratch(spark) as keep:
+            if r < ROUNDS:
+                center, more = F.lit(False), _stars(members, r)
+            else:
+                part = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+                center, size = F.col("rest") & (part * F.col("left") <= size), size * 8
+                few = written(members.where(center), "centers")
+                more = _pairs(_few(few, BROADCAST_KEYS // 4), members, (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
+            more = written(more, "pairs")
+            need = written(_of(more), "need")
+            links = links.union(keep(_confirmed(more, texts.join(_few(need, BROADCAST_KEYS // 4), "node", "left_semi"))))
+            found, r = keep(_components(links)), r + 1
+            hot = members.withColumn("done", F.col("done") | center)
     return prints.select("row", "print").join(nodes.select("print", "node"), "print").join(_few(found), "node", "left").select("row", "node", F.coalesce("component", "node").alias("component"))
