@@ -34,10 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import struct, table, written
+from quern.llm.common import arrow_batches, struct, table, written
 
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
+#: Whole texts that go to Python at once while a model is fitted.
+BATCH = 500
 THRESHOLD = 0.3
 #: Below one, so that expressions of a single text keep a part of their count.
 DISCOUNT = 0.98
@@ -282,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    with arrow_batches(docs.sparkSession, BATCH):
+        model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf(struct("score double, predicted int"))
     def go(texts: pd.Series) -> pd.DataFrame:
